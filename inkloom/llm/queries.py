@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkloom.llm import packing, splitting, tokens
+from inkloom.llm import packing, spans, splitting, tokens
 
 QUERIES = {
     "p7_found": splitting.p7_found,
@@ -10,4 +10,6 @@ QUERIES = {
     "p8_ids": tokens.p8_ids,
     "p9_containers": packing.p9_containers,
     "p9_fill": packing.p9_fill,
+    "p10_found": spans.p10_found,
+    "p10_shared": spans.p10_shared,
 }
