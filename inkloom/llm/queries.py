@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from inkloom.llm import packing, spans, splitting, tokens
+from inkloom.llm import packing, pairs, spans, splitting, tokens
 
 QUERIES = {
+    "p1_found": pairs.p1_found,
+    "p1_defects": pairs.p1_defects,
     "p7_found": splitting.p7_found,
     "p7_pieces": splitting.p7_pieces,
     "p8_ids": tokens.p8_ids,
