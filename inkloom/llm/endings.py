@@ -123,9 +123,16 @@ def train(texts: list[str], seed: int = 7) -> EndingModel:
 
 
 def sample_texts(df: DataFrame, text: str, key: Column, size: int = SAMPLE_TEXTS) -> list[str]:
-    """A bounded sample of texts that end in a final stop, the same in every run."""
+    """A bounded sample of texts that end in a final stop, the same in every run.
+
+    Rows are first thinned by hash to a small multiple of the bound, so that no
+    task sends many; then the least hashes are taken.
+    """
+    total = df.count()
+    share = min(1.0, 4.0 * size / max(1, total))
     stopped = df.filter(F.col(text).rlike(f"[{re.escape(STOPS)}][{re.escape(CLOSERS)}]{{0,3}}\\s*\\z")).select(F.expr(f"right(`{text}`, {SAMPLE_CHARS})").alias("t"), F.xxhash64(key, text).alias("h"))
-    return [r["t"] for r in stopped.orderBy("h", "t").limit(size).collect()]  # at most ``size`` rows
+    thinned = stopped.filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return [r["t"] for r in thinned.orderBy("h", "t").limit(size).collect()]  # at most ``size`` rows
 
 
 # -- structure ------------------------------------------------------------

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from inkloom.llm import packing, pairs, spans, splitting, tokens
+from inkloom.llm import cutoff, packing, pairs, spans, splitting, tokens
 
 QUERIES = {
     "p1_found": pairs.p1_found,
     "p1_defects": pairs.p1_defects,
+    "p3_found": cutoff.p3_found,
+    "p3_rates": cutoff.p3_rates,
+    "p3_limits": cutoff.p3_limits,
     "p7_found": splitting.p7_found,
     "p7_pieces": splitting.p7_pieces,
     "p8_ids": tokens.p8_ids,
