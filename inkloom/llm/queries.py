@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkloom.llm import cutoff, packing, pairs, spans, splitting, tokens
+from inkloom.llm import cutoff, lookalike, packing, pairs, spans, splitting, tokens
 
 QUERIES = {
     "p1_found": pairs.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p3_found": cutoff.p3_found,
     "p3_rates": cutoff.p3_rates,
     "p3_limits": cutoff.p3_limits,
+    "p5_found": lookalike.p5_found,
+    "p5_canonical": lookalike.p5_canonical,
     "p7_found": splitting.p7_found,
     "p7_pieces": splitting.p7_pieces,
     "p8_ids": tokens.p8_ids,
