@@ -5,4 +5,31 @@ ORACLES = {
         SELECT DISTINCT 'text_chunk' AS item_kind, chunk_id AS item_id FROM text_chunks WHERE length(text) > (SELECT setting_value FROM size_limits WHERE setting_name = 'chunk_limit_chars')
         UNION ALL
         SELECT DISTINCT 'plot_chunk', plot_chunk_id FROM plot_chunks WHERE length(text) > (SELECT setting_value FROM size_limits WHERE setting_name = 'chunk_limit_chars')""",
+    "p2_found": """
+        WITH RECURSIVE c AS (SELECT DISTINCT candidate_id, book_key, plot_index, CASE WHEN character_name <> 'Unknown' THEN character_name END AS name FROM candidates),
+        s AS (SELECT DISTINCT book_key, plot_index FROM c WHERE book_key IS NOT NULL AND plot_index IS NOT NULL),
+        link AS (SELECT DISTINCT a.book_key AS b1, a.plot_index AS p1, z.book_key AS b2, z.plot_index AS p2 FROM c a JOIN c z ON a.name = z.name),
+        reach AS (
+            SELECT book_key AS b1, plot_index AS p1, book_key AS b2, plot_index AS p2 FROM s
+            UNION
+            SELECT reach.b1, reach.p1, link.b2, link.p2 FROM reach JOIN link ON reach.b2 = link.b1 AND reach.p2 = link.p1),
+        least AS (SELECT b1, p1, min(struct_pack(b := b2, p := p2)) AS g FROM reach GROUP BY b1, p1)
+        SELECT DISTINCT candidate_id, g.b AS group_book_key, g.p AS group_plot_index FROM c JOIN least ON c.book_key = b1 AND c.plot_index = p1""",
+    "p4_found": """
+        WITH m AS (
+            SELECT chat_session_id AS s, sender_role AS r, content AS t, created_at AS w, min(message_id) AS id, arg_min(kind, message_id) AS k
+            FROM chat_messages GROUP BY ALL),
+        v AS (SELECT *, coalesce(regexp_matches(t, '[^\s\pZ\pC]'), false) AS shown, r IN ('user', 'assistant') AND k = 'message' AS talk FROM m),
+        n AS (SELECT *, sum(CASE WHEN r = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY w, id) AS turn FROM v WHERE talk),
+        turns AS (SELECT s, turn, bool_or(r = 'assistant' AND shown) AS answered FROM n GROUP BY s, turn),
+        bad AS (SELECT s FROM turns GROUP BY s HAVING min(turn) = 0 OR bool_or(NOT answered)),
+        chat AS (SELECT s FROM v GROUP BY s HAVING bool_or(coalesce(r NOT IN ('user', 'assistant', 'tool', 'system'), true)) OR NOT coalesce(bool_or(talk AND shown), false)),
+        l AS (SELECT DISTINCT conversation_id AS c, utterance_index AS i, speaker AS p, content AS t FROM utterances),
+        plot AS (
+            SELECT c FROM l GROUP BY c
+            HAVING count(*) <> count(DISTINCT i) OR min(i) <> 0 OR max(i) <> count(*) - 1
+                OR bool_or(NOT coalesce(regexp_matches(p, '[^\s\pZ\pC]'), false) OR NOT coalesce(regexp_matches(t, '[^\s\pZ\pC]'), false))
+                OR count(DISTINCT CASE WHEN p <> 'Environment' AND regexp_matches(p, '[^\s\pZ\pC]') THEN p END) < 2)
+        SELECT 'chat' AS conversation_kind, s AS conversation_id FROM (SELECT s FROM bad UNION SELECT s FROM chat)
+        UNION ALL SELECT 'plot', c FROM plot""",
 }

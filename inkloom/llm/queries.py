@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from inkloom.llm import cutoff, lookalike, packing, pairs, spans, splitting, tokens
+from inkloom.llm import conversations, cutoff, lookalike, packing, pairs, spans, splits, splitting, tokens
 
 QUERIES = {
     "p1_found": pairs.p1_found,
     "p1_defects": pairs.p1_defects,
+    "p2_found": splits.p2_found,
+    "p2_splits": splits.p2_splits,
+    "p2_balance": splits.p2_balance,
     "p3_found": cutoff.p3_found,
     "p3_rates": cutoff.p3_rates,
     "p3_limits": cutoff.p3_limits,
+    "p4_found": conversations.p4_found,
+    "p4_conversations": conversations.p4_conversations,
     "p5_found": lookalike.p5_found,
     "p5_canonical": lookalike.p5_canonical,
     "p7_found": splitting.p7_found,
