@@ -85,6 +85,24 @@ def stratify(vectors: np.ndarray, sizes: np.ndarray, need: np.ndarray, need_size
     return out
 
 
+def settle(out: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, need: np.ndarray, need_size: np.ndarray) -> np.ndarray:
+    """Move single groups between splits while that brings the splits' sizes nearer to their targets."""
+    for _ in range(4 * len(out)):
+        source = need_size[out]
+        gain = 2 * sizes[:, None] * (source[:, None] - need_size[None, :] + sizes[:, None])
+        gain[np.arange(len(out)), out] = 0
+        g, s = np.unravel_index(np.argmin(gain), gain.shape) if len(out) else (0, 0)
+        if not len(out) or gain[g, s] >= -1e-9:
+            return out
+        was = out[g]
+        need[was] += vectors[g]
+        need_size[was] += sizes[g]
+        need[s] -= vectors[g]
+        need_size[s] -= sizes[g]
+        out[g] = s
+    return out
+
+
 def assign(grouped: DataFrame, labelled: DataFrame, key: str, targets: dict[str, float]) -> DataFrame:
     """``group_id, split_label`` from ``key, group_id`` and ``key, label``; shares are normalised to 1."""
     total_share = sum(targets.values())
@@ -100,8 +118,9 @@ def assign(grouped: DataFrame, labelled: DataFrame, key: str, targets: dict[str,
     least_big = max(1.0, totals[0] / BIG_PARTS)
     big = sized.filter(F.col("n") >= least_big).orderBy("group_id").toPandas()  # at most BIG_PARTS rows
     need = share[:, None] * totals[None, :]
-    placed = stratify(big[columns[1:]].to_numpy(float), big["n"].to_numpy(float), need[:, 1:], rest := need[:, 0].copy())
-    need[:, 0] = rest
+    vectors, sizes, rest, labels = big[columns[1:]].to_numpy(float), big["n"].to_numpy(float), need[:, 0].copy(), need[:, 1:].copy()
+    placed = settle(stratify(vectors, sizes, labels, rest), vectors, sizes, labels, rest)
+    need = np.concatenate([rest[:, None], labels], 1)
     need = np.maximum(need, 0)
     fraction = np.where(need.sum(0) > 0, need / np.maximum(need.sum(0), 1e-9), share[:, None])
     shards = max(1, math.ceil(sums["groups"] / SHARD_GROUPS))
