@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkloom.llm import conversations, cutoff, lookalike, packing, pairs, spans, splits, splitting, tokens
+from inkloom.llm import conversations, cutoff, lookalike, names, packing, pairs, spans, splits, splitting, tokens
 
 QUERIES = {
     "p1_found": pairs.p1_found,
@@ -17,6 +17,8 @@ QUERIES = {
     "p4_conversations": conversations.p4_conversations,
     "p5_found": lookalike.p5_found,
     "p5_canonical": lookalike.p5_canonical,
+    "p6_found": names.p6_found,
+    "p6_entities": names.p6_entities,
     "p7_found": splitting.p7_found,
     "p7_pieces": splitting.p7_pieces,
     "p8_ids": tokens.p8_ids,
