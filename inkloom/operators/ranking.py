@@ -37,3 +37,37 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str) -> DataFra
     # One row per partition.
     offsets = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     return local.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(name))
+
+
+def seeded(key: str, seed: int):
+    """A shuffle key: the same in every engine that has md5."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def tiered_sample(df: DataFrame, groups: Sequence[str], tier: str, key: str, share: float, seed: int) -> DataFrame:
+    """A share of each group, rounded half up, at least one row: tiers in order, each shuffled."""
+    w = W.partitionBy(*groups)
+    hashed = df.withColumn("_h", seeded(key, seed))
+    placed = hashed.withColumn("place", F.row_number().over(w.orderBy(tier, "_h"))).withColumn("_n", F.greatest(F.lit(1), F.floor(F.count("*").over(w) * F.lit(share) + F.lit(0.5))))
+    return placed.filter(F.col("place") <= F.col("_n")).drop("_n", "_h")
+
+
+def balanced(df: DataFrame, groups: Sequence[str], key: str, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows of each group, chosen by a seeded hash, which stays in ``_h``."""
+    hashed = df.withColumn("_h", seeded(key, seed))
+    return hashed.withColumn("_rn", F.row_number().over(W.partitionBy(*groups).orderBy("_h", key))).filter(F.col("_rn") <= most).drop("_rn")
+
+
+def newest_page(df: DataFrame, groups: Sequence[str], key: str, size: int) -> DataFrame:
+    """The newest rows of each group, oldest first, with ``place``, ``has_more`` and ``next_before``, the id before which the next page lies."""
+    w = W.partitionBy(*groups)
+    placed = df.withColumns({"_back": F.row_number().over(w.orderBy(F.desc(key))), "_n": F.count("*").over(w)}).filter(F.col("_back") <= size)
+    return placed.withColumns({"place": F.least(F.col("_n"), F.lit(size)) - F.col("_back"), "has_more": F.col("_n") > size, "next_before": F.min(key).over(w)}).drop("_back", "_n")
+
+
+def spine_sample(df: DataFrame, groups: Sequence[str], order: str, first: int = 3, middle: int = 4, last: int = 3) -> DataFrame:
+    """The first, middle and last rows of each group, each row once."""
+    w = W.partitionBy(*groups)
+    placed = df.withColumns({"_p": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
+    begin = F.expr(f"(_n - {middle}) div 2")
+    return placed.filter((F.col("_p") < first) | (F.col("_p") >= F.col("_n") - last) | ((F.col("_p") >= begin) & (F.col("_p") < begin + middle))).drop("_p", "_n")
