@@ -96,7 +96,7 @@ def _copied(said: list[Column], forms: list[Column]) -> Column:
     for s in said:
         for n in forms:
             size, other = F.length(s), F.length(n)
-            near = F.greatest(F.lit(2), F.floor(other * 0.05)).cast("int")
+            near = F.least(F.greatest(F.lit(4), F.floor(other * 0.07)), F.floor(other * 0.15)).cast("int")
             fits = (other >= 6) & (size >= other * 0.7) & (other >= size * 0.7)
             same_digits = F.regexp_replace(s, r"\D+", "") == F.regexp_replace(n, r"\D+", "")
             edited = F.when((F.abs(size - other) <= near) & (F.levenshtein(s, n, 400).between(0, near)), same_digits).otherwise(F.lit(False))

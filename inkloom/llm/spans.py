@@ -56,7 +56,7 @@ def gram_hashes(cp: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnow(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the least hash of each w successive ones, the last of equals; of a run of equal hashes only its ends."""
+    """Positions of the least hash of each w successive ones, the last of equals; of a run of equal hashes its ends and every w-th."""
     if len(h) < w:
         w = len(h)
     at, size = np.arange(len(h)), 1
@@ -68,10 +68,15 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
         a, b = at[: len(at) - (w - size)], at[w - size :]
         at = np.where(h[b] <= h[a], b, a)
     at = np.unique(at)
-    inside = np.zeros(len(at), bool)
-    mid = (at > 0) & (at < len(h) - 1)
-    inside[mid] = (h[at[mid]] == h[at[mid] - 1]) & (h[at[mid]] == h[at[mid] + 1])
-    return at[~inside]
+    # Runs of equal hashes come from repeated characters; each selected one is marked at its ends and every w places.
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    if len(begin) == len(h):
+        return at
+    end = np.append(begin[1:], len(h)) - 1
+    run = np.searchsorted(begin, at, "right") - 1
+    long = np.unique(run[end[run] > begin[run]])
+    marks = [np.append(np.arange(begin[r], end[r], w), end[r]) for r in long]
+    return np.unique(np.concatenate([at[end[run] == begin[run]], *marks])) if len(long) else at
 
 
 def _codes(text: str) -> np.ndarray:
@@ -146,8 +151,10 @@ def _extend(k: int, threshold: int):
                 left = np.where(same[:, :side].all(1), side, np.argmin(same[:, :side][:, ::-1], 1))
                 right = np.where(same[:, side + k :].all(1), side, np.argmin(same[:, side + k :], 1))
                 good = same[:, side : side + k].all(1) & (left + k + right >= threshold)
+                # The first anchor of a shared span shows its start; in repeated characters any anchor counts.
+                first = (left < side) | (x[:, side : side + k] == x[:, side : side + 1]).all(1)
                 left, right, a, b, p, q = (v[good].astype(np.int64) for v in (left, right, a, b, pa_, pb))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(p - left), pa.array(p + k + right), pa.array(q - left), pa.array(q + k + right), pa.array(left < side)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(p - left), pa.array(p + k + right), pa.array(q - left), pa.array(q + k + right), pa.array(first[good])], names)
 
     return run
 
