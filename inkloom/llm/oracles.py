@@ -15,7 +15,7 @@ ORACLES = {
             SELECT reach.b1, reach.p1, link.b2, link.p2 FROM reach JOIN link ON reach.b2 = link.b1 AND reach.p2 = link.p1),
         least AS (SELECT b1, p1, min(struct_pack(b := b2, p := p2)) AS g FROM reach GROUP BY b1, p1)
         SELECT DISTINCT candidate_id, g.b AS group_book_key, g.p AS group_plot_index FROM c JOIN least ON c.book_key = b1 AND c.plot_index = p1""",
-    "p4_found": """
+    "p4_found": r"""
         WITH m AS (
             SELECT chat_session_id AS s, sender_role AS r, content AS t, created_at AS w, min(message_id) AS id, arg_min(kind, message_id) AS k
             FROM chat_messages GROUP BY ALL),
