@@ -79,10 +79,10 @@ def is_narration(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """An ASCII slug, else the text without reserved marks, else ``dataset``."""
-    ascii_ = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    wide = F.regexp_replace(safe_filename(text), r"[ ]+", "-")
-    return F.coalesce(F.nullif(F.when(text.rlike(r"^[\x{01}-\x{7f}]*$"), ascii_), F.lit("")), F.nullif(wide, F.lit("")), F.lit("dataset"))
+    """An ASCII slug, else the text with reserved marks as dashes, else ``dataset``."""
+    ascii_ = F.regexp_replace(F.regexp_replace(F.lower(strip(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    wide = F.regexp_replace(F.regexp_replace(strip(text), r"[\x{00}-\x{1f}<>:\"/\\|?*]+", "-"), r"^[ .\-]+|[ .\-]+$", "")
+    return F.coalesce(F.nullif(ascii_, F.lit("")), F.nullif(wide, F.lit("")), F.lit("dataset"))
 
 
 def safe_filename(text: Column) -> Column:

@@ -87,7 +87,7 @@ def prompt_lines(spark, sf_dir):
     WITH n AS (SELECT DISTINCT speaker FROM utterances WHERE speaker IS NOT NULL),
     f AS (SELECT speaker, regexp_replace(regexp_replace(speaker, '[\x{00}-\x{1f}<>:"/\\|?*]+', '_', 'g'), '^[ .\-]+|[ .\-]+$', '', 'g') AS safe FROM n)
     SELECT speaker, safe AS file_name,
-        coalesce(nullif(CASE WHEN regexp_matches(speaker, '^[\x{01}-\x{7f}]*$') THEN regexp_replace(regexp_replace(lower(speaker), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END, ''), nullif(regexp_replace(safe, '[ ]+', '-', 'g'), ''), 'dataset') AS slug,
+        coalesce(nullif(regexp_replace(regexp_replace(lower(trim(speaker, ' ' || chr(9) || chr(10) || chr(13) || chr(12288))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), nullif(regexp_replace(regexp_replace(trim(speaker, ' ' || chr(9) || chr(10) || chr(13) || chr(12288)), '[\x{00}-\x{1f}<>:"/\\|?*]+', '-', 'g'), '^[ .\-]+|[ .\-]+$', '', 'g'), ''), 'dataset') AS slug,
         coalesce(nullif(substr(trim(regexp_replace(speaker, '[ \t\n\r\x{3000}]+', ' ', 'g')), 1, 60), ''), 'New chat') AS title
     FROM f""")
 def name_forms(spark, sf_dir):
