@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.plans import alignment_queries, relation_queries, sequence_queries, text_queries  # noqa: F401
+from inkloom.plans import alignment_queries, record_queries, relation_queries, sequence_queries, text_queries  # noqa: F401
 from inkloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
