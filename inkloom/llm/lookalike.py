@@ -14,6 +14,7 @@ exact form: compatibility decomposition of width and presentation forms only.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,7 +74,7 @@ def exact_form(text: str) -> str:
     """One string for all texts that look the same: mapped, without width and presentation forms, composed."""
     pairs = _pairs()
     out = []
-    for c in text:
+    for c in unicodedata.normalize("NFD", text):
         if c in INVISIBLE:
             continue
         c = pairs.get(c, c)
@@ -83,6 +84,36 @@ def exact_form(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(pairs.get(x, x) for x in unicodedata.normalize("NFC", "".join(out)))).strip()
 
 
+
+@lru_cache(maxsize=1)
+def _coarse_table() -> tuple[str, str, str]:
+    """Characters and the base characters of their exact forms, and those to leave out.
+
+    A character whose exact form has several base characters is left out, and
+    so are those base characters everywhere.
+    """
+    bases, dropped = {}, set()
+    for code in [*range(0x21, 0xAC00), *range(0xF900, 0x10000)]:
+        c = chr(code)
+        form = exact_form(c)
+        base = [x for x in unicodedata.normalize("NFKD", form) if unicodedata.category(x)[0] != "M"]
+        if len(base) == 1:
+            bases[c] = base[0]
+        else:
+            dropped.add(c)
+            if len(form) > 1:
+                dropped.update(base)
+    # What a left-out character stands for is left out in all its forms.
+    dropped.update(c for c, base in bases.items() if base in dropped)
+    kept = {c: base for c, base in bases.items() if c != base and c not in dropped}
+    return "".join(kept), "".join(kept.values()), "".join(sorted(dropped | set(INVISIBLE + BLANKS + " ")))
+
+
+def coarse(text: Column) -> Column:
+    """A value that texts of one exact form share: base characters without case, accents, blanks, Hangul and all that may be part of a ligature."""
+    source, target, dropped = _coarse_table()
+    return F.lower(F.regexp_replace(F.translate(text, source + dropped, target), r"[\p{M}\x{1100}-\x{11ff}\x{a960}-\x{a97f}\x{ac00}-\x{d7ff}]+", ""))
+
 def _exact(values: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     return values.map(lambda v: None if v is None else known.get(v) or known.setdefault(v, exact_form(v)))
@@ -93,19 +124,29 @@ def visible(text: Column) -> Column:
     return F.coalesce(mapped(text).rlike(r"[^\s\p{Cc}\p{Cf}\p{Z}\x{2800}]"), F.lit(False))
 
 
-def equal_looking(rows: DataFrame, scope: str, columns: list[str]) -> DataFrame:
-    """The forms of classes that hold more than one: ``scope``, the columns, ``exact`` and the canonical values ``canonical_<column>``.
+def suspects(rows: DataFrame, scope: str, columns: list[str]) -> DataFrame:
+    """The rows whose scope and coarse values occur in more than one form; all rows of classes with several forms are among them.
 
-    A form is a distinct combination of the columns' code points in its scope.
-    Rows with a null scope or a column that is null or shows nothing belong to
-    no class; repeated rows are one form.  The canonical member is the one
-    closest to its exact form, then the least.
+    Only hashes are shuffled to find them.  Rows with a null scope or a column
+    that is null or shows nothing are no cases.
     """
-    exact = F.pandas_udf(_exact, "string")
     shown = rows
     for c in columns:
         shown = shown.filter(visible(F.col(c)))
-    forms = shown.filter(F.col(scope).isNotNull()).select(scope, *columns).distinct()
+    keyed = shown.filter(F.col(scope).isNotNull()).withColumns({"_coarse": F.xxhash64(*[coarse(F.col(c)) for c in columns]), "_form": F.xxhash64(*columns)})
+    many = keyed.groupBy(scope, "_coarse").agg(F.min("_form").alias("lo"), F.max("_form").alias("hi")).filter("lo <> hi").select(scope, "_coarse")
+    return keyed.join(many, [scope, "_coarse"], "left_semi").drop("_coarse", "_form")
+
+
+def equal_looking(rows: DataFrame, scope: str, columns: list[str]) -> DataFrame:
+    """The forms of classes that hold more than one: ``scope``, the columns, ``exact`` and the canonical values ``canonical_<column>``.
+
+    A form is a distinct combination of the columns' code points in its scope;
+    ``rows`` may be all rows or their ``suspects``.  Repeated rows are one form.
+    The canonical member is the one closest to its exact form, then the least.
+    """
+    exact = F.pandas_udf(_exact, "string")
+    forms = rows.select(scope, *columns).distinct()
     keyed = forms.withColumns({f"_{c}": F.collate(mapped(F.col(c)), COLLATION) for c in columns})
     keys = [scope, *[f"_{c}" for c in columns]]
     form = F.struct(*columns)
@@ -121,9 +162,9 @@ def equal_looking(rows: DataFrame, scope: str, columns: list[str]) -> DataFrame:
 
 def pairs(rows: DataFrame, key: str, scope: str, columns: list[str]) -> DataFrame:
     """``<key>_a, <key>_b``, a < b: rows of one scope that look the same in all columns and differ in code points."""
-    slim = rows.select(key, scope, *columns)
-    forms = cut(equal_looking(slim, scope, columns).select(scope, *columns, "exact"), "forms")
-    members = cut(slim.filter(F.col(key).isNotNull()).join(forms, [scope, *columns]).select(key, scope, *columns, "exact").distinct(), "alike")
+    slim = cut(suspects(rows.filter(F.col(key).isNotNull()).select(key, scope, *columns), scope, columns), "suspects")
+    forms = equal_looking(slim, scope, columns).select(scope, *columns, "exact")
+    members = cut(slim.join(forms, [scope, *columns]).select(key, scope, *columns, "exact").distinct(), "alike")
     a, b = members.alias("a"), members.alias("b")
     same = (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a.exact") == F.col("b.exact")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
     differ = F.lit(False)
@@ -139,6 +180,6 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 def p5_canonical(spark, sf_dir: str) -> DataFrame:
     """Every utterance with its speaker and content in canonical form."""
     rows = table(spark, sf_dir, "utterances").select("utterance_id", "book_key", "speaker", "content").distinct()
-    forms = equal_looking(rows, "book_key", ["speaker", "content"]).select("book_key", "speaker", "content", "canonical_speaker", "canonical_content")
+    forms = equal_looking(suspects(rows, "book_key", ["speaker", "content"]), "book_key", ["speaker", "content"]).select("book_key", "speaker", "content", "canonical_speaker", "canonical_content")
     out = rows.join(forms, ["book_key", "speaker", "content"], "left")
     return out.select("utterance_id", "book_key", F.coalesce("canonical_speaker", "speaker").alias("speaker"), F.coalesce("canonical_content", "content").alias("content"))

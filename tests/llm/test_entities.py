@@ -93,6 +93,20 @@ def test_exact_form():
     assert exact_form("I") != exact_form("l") and exact_form("é") == "é"
 
 
+def test_coarse_values_are_shared(spark):
+    from pyspark.sql import functions as F
+
+    from inkloom.llm.lookalike import ALIKE, INVISIBLE, SAME_LOOK, coarse
+    import unicodedata
+
+    odd = [chr(c) for c in [*range(0x21, 0xAC00), *range(0xF900, 0x10000)] if unicodedata.decomposition(chr(c)).split(" ")[0] in SAME_LOOK or unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.decomposition(chr(c))[:1].isalnum()]
+    odd += [x for a, _ in ALIKE for x in a] + list(INVISIBLE)
+    texts = [f"x{c}y" for c in odd] + [unicodedata.normalize("NFD", f"x{c}y") for c in odd]
+    values = {r["t"]: r["c"] for r in spark.createDataFrame([(t,) for t in set(texts) | {exact_form(t) for t in texts}], "t string").select("t", coarse(F.col("t")).alias("c")).collect()}
+    wrong = [t for t in texts if values[t] != values[exact_form(t)]]
+    assert not wrong, (len(wrong), [hex(ord(t[1])) for t in wrong[:20]])
+
+
 def test_no_utterances(spark):
     assert pairs(spark.createDataFrame([], UTTER), "utterance_id", "book_key", ["speaker", "content"]).collect() == []
 
