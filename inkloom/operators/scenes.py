@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,60 +14,53 @@ class BoundaryError(ValueError):
     """A boundary that isn't in its text, or boundaries in an impossible order."""
 
 
+def _place(text: str, mark: str, start: int) -> int:
+    at = text.find(mark, start)
+    if at < 0:
+        raise BoundaryError(f"{mark!r} isn't in the text from {start} on")
+    return at
+
+
+def spans_of(text: str, marks: Sequence[tuple[str | None, str | None]], going_on: bool) -> list[tuple[int, int, bool]]:
+    """The (start, end, closed) of each scene's part of one text, each after the one before.
+
+    ``going_on``: the first mark continues a scene, so it begins with the text
+    and its start doesn't matter.  Without marks the whole text is one open part.
+    """
+    out: list[tuple[int, int, bool]] = []
+    cursor = 0
+    for k, (start, end) in enumerate(marks):
+        if out and not out[-1][2]:
+            raise BoundaryError("an open scene comes before other marks")
+        if going_on and k == 0:
+            start = None
+        begin = cursor if start is None else _place(text, start, cursor)
+        cursor = len(text) if end is None else _place(text, end, begin) + len(end)
+        out.append((begin, cursor, end is not None))
+    # What follows a scene that was only continued and closed is the start of another.
+    if not out or (going_on and len(out) == 1 and out[0][2] and cursor < len(text)):
+        out.append((cursor, len(text), False))
+    return out
+
+
 def rebuild(chunks: Sequence[tuple[int, str, str]], boundaries: Sequence[Sequence[tuple[str | None, str | None]]]) -> list[list[tuple[int, int, int]]]:
     """Scenes as lists of (position, start, end) from (position, text, section) and each chunk's (start, end) marks.
 
-    A scene without an end stays open into the next chunk, whose first marks
-    continue it; it closes where its section ends.  A chunk without marks and
-    without an open scene is a scene of its own, open until its section ends.
+    Scenes never cross a section, so each run of chunks of one section is
+    folded by itself: a part that isn't closed takes in the first part of the
+    next chunk, and the section's end closes it.
     """
     done: list[list[tuple[int, int, int]]] = []
-    pieces: list[tuple[int, int, int]] | None = None
-    held = None
-
-    def find(text: str, mark: str, start: int) -> int:
-        at = text.find(mark, start)
-        if at < 0:
-            raise BoundaryError(f"{mark!r} isn't in the text from {start} on")
-        return at
-
-    for i, ((position, text, section), marks) in enumerate(zip(chunks, boundaries)):
-        ends_section = i + 1 == len(chunks) or chunks[i + 1][2] != section
-        rest = list(marks)
-        if pieces is not None and held != section:
-            done.append(pieces)
-            pieces = None
-        cursor = 0
-        if pieces is not None:
-            first = rest.pop(0) if rest else (None, None)
-            if first[1] is None:
-                if rest:
-                    raise BoundaryError("an open scene goes on before other marks")
-                pieces.append((position, 0, len(text)))
-                cursor = len(text)
-                rest = None
-            else:
-                cursor = find(text, first[1], 0) + len(first[1])
-                done.append([*pieces, (position, 0, cursor)])
-                pieces = None
-        if rest is not None:
-            if not rest:
-                pieces, held = [(position, cursor, len(text))], section
-            for k, (start, end) in enumerate(rest):
-                begin = cursor if start is None else find(text, start, cursor)
-                if end is None:
-                    if k + 1 < len(rest):
-                        raise BoundaryError("an open scene comes before other marks")
-                    pieces, held = [(position, begin, len(text))], section
-                    cursor = len(text)
+    for _, run in itertools.groupby(zip(chunks, boundaries), key=lambda x: x[0][2]):
+        going_on = False
+        for (position, text, _), marks in run:
+            for k, (start, end, closed) in enumerate(spans_of(text, marks, going_on)):
+                if k == 0 and going_on:
+                    done[-1].append((position, start, end))
                 else:
-                    cursor = find(text, end, begin) + len(end)
-                    done.append([(position, begin, cursor)])
-        if ends_section and pieces is not None:
-            done.append(pieces)
-            pieces = None
-    if pieces is not None:
-        done.append(pieces)
+                    done.append([(position, start, end)])
+                last = closed
+            going_on = not last
     return done
 
 
