@@ -13,8 +13,8 @@ exact form: compatibility decomposition of width and presentation forms only.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,34 +85,27 @@ def exact_form(text: str) -> str:
 
 
 
-@lru_cache(maxsize=1)
-def _coarse_table() -> tuple[str, str, str]:
-    """Characters and the base characters of their exact forms, and those to leave out.
+class _Coarse(dict):
+    """Of each code point the base characters of its exact form, without case, marks and blanks; filled as characters come up."""
+
+    def __missing__(self, code: int) -> str:
+        base = unicodedata.normalize("NFKD", exact_form(chr(code)))
+        self[code] = "".join(x for x in base if unicodedata.category(x)[0] not in "MZ").lower()
+        return self[code]
+
+
+_COARSE = _Coarse()
+
+
+def coarse_form(text: str) -> str:
+    """A value that all texts of one exact form share."""
+    return text.lower().replace(" ", "") if text.isascii() else text.translate(_COARSE)
+
+
+def _coarse_hash(*columns: pd.Series) -> pd.Series:
+    digest = hashlib.blake2b
+    return pd.Series([int.from_bytes(digest("\u0001".join(map(coarse_form, row)).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for row in zip(*columns)], dtype="int64")
 
-    A character whose exact form has several base characters is left out, and
-    so are those base characters everywhere.
-    """
-    bases, dropped = {}, set()
-    for code in [*range(0x21, 0xAC00), *range(0xF900, 0x10000)]:
-        c = chr(code)
-        form = exact_form(c)
-        base = [x for x in unicodedata.normalize("NFKD", form) if unicodedata.category(x)[0] != "M"]
-        if len(base) == 1:
-            bases[c] = base[0]
-        else:
-            dropped.add(c)
-            if len(form) > 1:
-                dropped.update(base)
-    # What a left-out character stands for is left out in all its forms.
-    dropped.update(c for c, base in bases.items() if base in dropped)
-    kept = {c: base for c, base in bases.items() if c != base and c not in dropped}
-    return "".join(kept), "".join(kept.values()), "".join(sorted(dropped | set(INVISIBLE + BLANKS + " ")))
-
-
-def coarse(text: Column) -> Column:
-    """A value that texts of one exact form share: base characters without case, accents, blanks, Hangul and all that may be part of a ligature."""
-    source, target, dropped = _coarse_table()
-    return F.lower(F.regexp_replace(F.translate(text, source + dropped, target), r"[\p{M}\x{1100}-\x{11ff}\x{a960}-\x{a97f}\x{ac00}-\x{d7ff}]+", ""))
 
 def _exact(values: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
@@ -133,7 +126,8 @@ def suspects(rows: DataFrame, scope: str, columns: list[str]) -> DataFrame:
     shown = rows
     for c in columns:
         shown = shown.filter(visible(F.col(c)))
-    keyed = shown.filter(F.col(scope).isNotNull()).withColumns({"_coarse": F.xxhash64(*[coarse(F.col(c)) for c in columns]), "_form": F.xxhash64(*columns)})
+    coarse = F.pandas_udf(_coarse_hash, "bigint")
+    keyed = shown.filter(F.col(scope).isNotNull()).withColumns({"_coarse": coarse(*columns), "_form": F.xxhash64(*columns)})
     many = keyed.groupBy(scope, "_coarse").agg(F.min("_form").alias("lo"), F.max("_form").alias("hi")).filter("lo <> hi").select(scope, "_coarse")
     return keyed.join(many, [scope, "_coarse"], "left_semi").drop("_coarse", "_form")
 
