@@ -187,3 +187,22 @@ def ocr_corrections(seen: DataFrame, read: DataFrame, keys: Sequence[str], seen_
             yield pd.DataFrame(out, columns=[seen_id, read_id])
 
     return a.join(b, list(keys)).select("_a", "_b").mapInPandas(run, f"{seen_id} bigint, {read_id} bigint")
+
+
+def turn_matches(turns: DataFrame, lines: DataFrame, keys: Sequence[str], turn_order: Sequence[str], turn_id: str, line_order: Sequence[str], line_id: str) -> DataFrame:
+    """``turn_id, line_id``: each turn's next line of the same ``form`` by a fitting speaker, always forward; turns without one give no row.
+
+    ``turns`` and ``lines`` have ``form`` and ``name``.
+    """
+    pack = lambda df, order, key: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("_id"), F.col("form").alias("_form"), F.col("name").alias("_name")))).alias(f"_{key}"))
+    both = pack(turns, turn_order, turn_id).join(pack(lines, line_order, line_id), list(keys)).select(F.col(f"_{turn_id}").alias("_a"), F.col(f"_{line_id}").alias("_b"))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for x, y in zip(frame["_a"], frame["_b"]):
+                found = match_turns([(v["_form"], v["_name"]) for v in x], [(v["_form"], [v["_name"]]) for v in y])
+                out += [(v["_id"], y[j]["_id"]) for v, j in zip(x, found) if j is not None]
+            yield pd.DataFrame(out, columns=[turn_id, line_id])
+
+    return both.mapInPandas(run, f"{turn_id} bigint, {line_id} bigint")

@@ -74,3 +74,29 @@ def line_corrections(spark, sf_dir):
     seen = marked.filter("conversation_id = first").select(*page, F.col("utterance_id").alias("seen_id"), "form")
     read = marked.filter("conversation_id <> first").select(*page, F.col("utterance_id").alias("read_id"), "form")
     return A.ocr_corrections(seen, read, page, "seen_id", "read_id")
+
+
+@query()
+def turn_matches(spark, sf_dir):
+    """Which line of the dialogue each candidate's response is, by normal form and speaker, in order."""
+    from inkloom.functions.similarity import normalized
+
+    turns = table(spark, sf_dir, "candidates").select("candidate_id", "book_key", "plot_index", "sft_line", "sft_message_index", F.col("character_name").alias("name"), normalized("reference_response").alias("form")).distinct().filter("form <> ''")
+    lines = table(spark, sf_dir, "utterances").filter(F.col("speaker") != T.NARRATOR).select("utterance_id", "conversation_id", "book_key", "plot_index", "utterance_index", F.col("speaker").alias("name"), normalized("content").alias("form")).distinct().filter("form <> ''")
+    keys = ["book_key", "plot_index"]
+    return A.turn_matches(turns, lines, keys, ["sft_line", "sft_message_index", "candidate_id"], "candidate_id", ["conversation_id", "utterance_index", "utterance_id"], "utterance_id")
+
+
+@query(r"""
+    WITH a AS (SELECT DISTINCT utterance_id, book_key, plot_index, utterance_index, speaker, content FROM utterances WHERE content IS NOT NULL),
+    p AS (SELECT DISTINCT book_key, plot_index, chunk_index, text FROM plot_chunks)
+    SELECT a.utterance_id, count(*) FILTER (WHERE strpos(p.text, a.content) > 0) AS chunks, coalesce(sum(CASE WHEN a.content <> '' THEN len(string_split(p.text, a.content)) - 1 ELSE 0 END), 0)::BIGINT AS places
+    FROM a JOIN p USING (book_key, plot_index) GROUP BY a.utterance_id""")
+def source_presence(spark, sf_dir):
+    """In how many chunks of its scene a line is found word for word, and how often; just once is a sure place."""
+    a = table(spark, sf_dir, "utterances").filter("content is not null").select("utterance_id", "book_key", "plot_index", "content").distinct()
+    p = table(spark, sf_dir, "plot_chunks").select("book_key", "plot_index", "chunk_index", "text").distinct()
+    both = a.join(p, ["book_key", "plot_index"])
+    shorter = F.length("text") - F.length(F.replace("text", F.col("content"), F.lit("")))
+    places = F.when(F.col("content") != "", (shorter / F.length("content")).cast("bigint")).otherwise(0)
+    return both.groupBy("utterance_id").agg(F.count_if(F.contains("text", "content")).alias("chunks"), F.coalesce(F.sum(places), F.lit(0)).alias("places"))
