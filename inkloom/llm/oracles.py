@@ -32,4 +32,23 @@ ORACLES = {
                 OR count(DISTINCT CASE WHEN p <> 'Environment' AND regexp_matches(p, '[^\s\pZ\pC]') THEN p END) < 2)
         SELECT 'chat' AS conversation_kind, s AS conversation_id FROM (SELECT s FROM bad UNION SELECT s FROM chat)
         UNION ALL SELECT 'plot', c FROM plot""",
+    "p4_conversations": r"""
+        WITH m AS (
+            SELECT chat_session_id AS s, sender_role AS r, content AS t, created_at AS w, min(message_id) AS id, arg_min(kind, message_id) AS k
+            FROM chat_messages GROUP BY ALL),
+        v AS (SELECT *, coalesce(regexp_matches(t, '[^\s\pZ\pC]'), false) AS shown, r IN ('user', 'assistant') AND k = 'message' AS talk FROM m),
+        n AS (SELECT *, sum(CASE WHEN r = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY w, id) AS turn FROM v WHERE talk),
+        turns AS (SELECT s, turn, bool_or(r = 'assistant' AND shown) AS answered FROM n GROUP BY s, turn),
+        bad AS (SELECT s FROM turns GROUP BY s HAVING min(turn) = 0 OR bool_or(NOT answered)),
+        chat AS (SELECT s FROM v GROUP BY s HAVING bool_or(coalesce(r NOT IN ('user', 'assistant', 'tool', 'system'), true)) OR NOT coalesce(bool_or(talk AND shown), false)),
+        l AS (SELECT DISTINCT conversation_id AS c, utterance_index AS i, speaker AS p, content AS t FROM utterances),
+        plot AS (
+            SELECT c FROM l GROUP BY c
+            HAVING count(*) <> count(DISTINCT i) OR min(i) <> 0 OR max(i) <> count(*) - 1
+                OR bool_or(NOT coalesce(regexp_matches(p, '[^\s\pZ\pC]'), false) OR NOT coalesce(regexp_matches(t, '[^\s\pZ\pC]'), false))
+                OR count(DISTINCT CASE WHEN p <> 'Environment' AND regexp_matches(p, '[^\s\pZ\pC]') THEN p END) < 2),
+        gone AS (SELECT s FROM bad UNION SELECT s FROM chat),
+        once AS (SELECT conversation_id AS c, utterance_index AS i, speaker AS p, content AS t FROM utterances GROUP BY ALL)
+        SELECT 'chat' AS conversation_kind, s AS conversation_id, row_number() OVER (PARTITION BY s ORDER BY w, id) - 1 AS position, r AS speaker, t AS content FROM v WHERE k = 'message' AND s NOT IN (SELECT s FROM gone) AND s NOT IN (SELECT s FROM v GROUP BY s HAVING count(*) FILTER (WHERE talk) = 0)
+        UNION ALL SELECT 'plot', c, i, p, t FROM once WHERE c NOT IN (SELECT c FROM plot)""",
 }

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from inkloom.llm.lookalike import exact_form, pairs
-from inkloom.llm.names import compare, deletes, distance, link, parse, FULL, PARTIAL, CLASH, NONE
+from inkloom.llm.names import compare, deletes, distance, link, parse, FULL, PARTIAL, SINGLE, CLASH, NONE
 from inkloom.llm.splits import assign, groups, settle, stratify
 from inkloom.operators.components import components
 
@@ -116,6 +116,7 @@ def test_other_names():
     assert compare("Una Torolsk", "Petra Torolsk")[0] == CLASH and compare("Anna Holm", "Berta Lund")[0] == NONE
     assert compare("S.F.C.", "Society of the Faded Cloak")[0] == PARTIAL
     assert parse("")[0] == parse("  ")[0] == "none"
+    assert compare("小兰", "汐港屏兰")[0] == SINGLE and compare("小兰", "汐港屏白")[0] == NONE
 
 
 @settings(max_examples=200, deadline=None)
@@ -134,10 +135,12 @@ def test_linking(spark):
         (5, "x", ["Petra Torolsk"], "Known for one grey eye; works as a locksmith."), (6, "x", ["Una Torolsk"], "Known for a blind dog; works as a smuggler."), (7, "x", ["P. Torolsk", "Petra Torolsk"], None), (8, "y", ["Nestor Verorsk"], "Came from Oldwater, has a limp."),
         (9, "x", None, "nobody"), (10, "x", [], "nobody"), (11, None, ["Nestor Verorsk"], ""), (1, "x", ["Nestor Verorsk"], "Came from Oldwater, has a limp."), (12, "x", [None, ""], "nobody"),
     ]
+    rows += [(20, "q", ["汐港屏兰"], "来自南柯坊，缺了一只耳朵。"), (21, "q", ["老兰"], "来自南柯坊，缺了一只耳朵。"), (22, "q", ["烛野景和"], "银色发辫的判官。")]
     rows += [(100 + i, "z", [f"Name{i} Sur{i}name"], f"Words{i} about thing{i}.") for i in range(30)]
     got = {r["observation_id"]: r["entity_id"] for r in link(spark.createDataFrame([(*r, "clash") for r in rows], OBS)).collect()}
     assert got[1] == got[2] == got[3] == got[4] and got[5] == got[7] and got[5] != got[6]
     assert len({got[i] for i in (1, 5, 6, 8, 9, 10, 11, 12)}) == 8
+    assert got[20] == got[21] != got[22]
     assert set(got) == {r[0] for r in rows}
 
 
