@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkloom.llm import endings
+from inkloom.operators.ranking import global_row_number
 from inkloom.session import cut, table
 
 #: Lengths on either side that a length's hazard is compared with.
@@ -60,10 +61,10 @@ def limits(lengths: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> Data
     tested = hazards(lengths)
     # All lengths that could be tested count as tests; the table holds one row per source and length in excess.
     m = lengths.select("source", "unit", "length").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("m"))
-    ranked = tested.withColumn("rank", F.row_number().over(W.orderBy("log_p", "source", "unit", "length"))).join(F.broadcast(m))
-    passed = ranked.withColumn("ok", F.col("log_p") <= F.log(F.col("rank") * F.lit(false_discovery) / F.col("m")))
-    last = F.max(F.when(F.col("ok"), F.col("rank"))).over(W.partitionBy())
-    return passed.withColumn("last", last).filter(F.col("rank") <= F.col("last")).select("source", "unit", "length", "n", "expected", "log_p")
+    ranked = global_row_number(tested, ["log_p", "source", "unit", "length"], "rank").join(F.broadcast(m))  # one row
+    passed = F.col("log_p") <= F.log(F.col("rank") * F.lit(false_discovery) / F.col("m"))
+    last = ranked.agg(F.max(F.when(passed, F.col("rank"))).alias("last"))
+    return ranked.join(F.broadcast(last)).filter(F.col("rank") <= F.col("last")).select("source", "unit", "length", "n", "expected", "log_p")  # one row
 
 
 def structure(df: DataFrame) -> DataFrame:

@@ -25,9 +25,9 @@ from inkloom.session import cut, table
 COLLATION = "UNICODE_CI"
 
 # Characters without a shape of their own.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁪⁫⁬⁭⁮⁯ㅤ︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️﻿ﾠ￹￺￻"
+INVISIBLE = "".join(map(chr, [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0x206A, 0x206B, 0x206C, 0x206D, 0x206E, 0x206F, 0x3164, 0xFE00, 0xFE01, 0xFE02, 0xFE03, 0xFE04, 0xFE05, 0xFE06, 0xFE07, 0xFE08, 0xFE09, 0xFE0A, 0xFE0B, 0xFE0C, 0xFE0D, 0xFE0E, 0xFE0F, 0xFEFF, 0xFFA0, 0xFFF9, 0xFFFA, 0xFFFB]))
 # Blanks that look like a space.
-BLANKS = "               　"
+BLANKS = "".join(map(chr, [0x00A0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x202F, 0x205F, 0x3000]))
 # Letters and marks, and what they look like; one column of each line stands for one character.
 ALIKE = [
     ("аеорсухіјѕԁһԛԝӏцвкмнтгьпб", "aeopcyxijsdhqwl" + "цвкмнтгьпб"),
@@ -159,12 +159,14 @@ def pairs(rows: DataFrame, key: str, scope: str, columns: list[str]) -> DataFram
     slim = cut(suspects(rows.filter(F.col(key).isNotNull()).select(key, scope, *columns), scope, columns), "suspects")
     forms = equal_looking(slim, scope, columns).select(scope, *columns, "exact")
     members = cut(slim.join(forms, [scope, *columns]).select(key, scope, *columns, "exact").distinct(), "alike")
-    a, b = members.alias("a"), members.alias("b")
-    same = (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a.exact") == F.col("b.exact")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    differ = F.lit(False)
-    for c in columns:
-        differ = differ | (F.col(f"a.{c}") != F.col(f"b.{c}"))
-    return a.join(b, same & differ).select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b")).distinct()
+    # Forms are paired, not rows: many rows of one form meet only the rows of other forms.
+    form = members.withColumn("form", F.concat_ws("\u0001", *columns)).select(key, scope, "exact", "form")
+    kinds = form.select(scope, "exact", "form").distinct()
+    x, y = kinds.withColumnRenamed("form", "form_a"), kinds.withColumnRenamed("form", "form_b")
+    other = x.join(y, [scope, "exact"]).filter("form_a <> form_b").select(scope, "form_a", "form_b")
+    a = form.select(scope, F.col("form").alias("form_a"), F.col(key).alias(f"{key}_a"))
+    b = form.select(scope, F.col("form").alias("form_b"), F.col(key).alias(f"{key}_b"))
+    return other.join(a, [scope, "form_a"]).join(b, [scope, "form_b"]).filter(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
