@@ -144,5 +144,14 @@ def test_linking(spark):
     assert set(got) == {r[0] for r in rows}
 
 
+def test_lone_names_find_their_only_bearer(spark):
+    said = "Known for a scar; works as a translator."
+    rows = [(i, f"s{i}", [f"Edwin {sur}"], said) for i, sur in enumerate(["Lamorfell", "Verorsk", "Torolsk", "Graoshold"])]
+    rows += [(10, "s0", ["Edwin"], ""), (11, "s1", ["Edwyn"], said), (12, "s2", ["Edwin T."], None), (13, "s3", ["Berta"], "")]
+    rows += [(20, "q", ["汐港屏兰"], "来自南柯坊。"), (21, "q", ["小屏"], "")]
+    got = {r["observation_id"]: r["entity_id"] for r in link(spark.createDataFrame([(*r, "clash") for r in rows], OBS)).collect()}
+    assert got[10] == got[0] and got[11] == got[1] and got[12] == got[2] and got[13] != got[3] and got[21] == got[20]
+
+
 def test_no_observations(spark):
     assert link(spark.createDataFrame([], OBS)).collect() == []
