@@ -153,5 +153,21 @@ def test_lone_names_find_their_only_bearer(spark):
     assert got[10] == got[0] and got[11] == got[1] and got[12] == got[2] and got[13] != got[3] and got[21] == got[20]
 
 
+def test_full_names_find_each_other_by_any_token(spark):
+    said = "Known for a scar; works as a translator."
+    rows = [(i, f"s{i}", ["Lionel Graoshold"], said) for i in range(4)] + [(10, "s0", ["Lionnel Graoshold"], said)]
+    rows += [(20, "t", ["Lionel Verorsk"], "Came from Oldwater, has a limp."), (21, "t", ["Lionel Torolsk"], "Came from Oldwater, has a limp.")]
+    got = {r["observation_id"]: r["entity_id"] for r in link(spark.createDataFrame([(*r, "clash") for r in rows], OBS)).collect()}
+    assert got[10] == got[0] and got[20] != got[21]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(*(st.tuples(st.text(letters, min_size=1, max_size=9), st.text(letters, min_size=1, max_size=9)) for letters in ("abc", "キダカ"))))
+def test_near_tokens_of_any_length_share_a_key(pair):
+    from inkloom.llm.names import token_score
+
+    assert token_score(*pair) < 0.7 or deletes(pair[0]) & deletes(pair[1])
+
+
 def test_no_observations(spark):
     assert link(spark.createDataFrame([], OBS)).collect() == []
