@@ -169,5 +169,13 @@ def test_near_tokens_of_any_length_share_a_key(pair):
     assert token_score(*pair) < 0.7 or deletes(pair[0]) & deletes(pair[1])
 
 
+def test_descriptions_are_read_to_their_end(spark):
+    one, two = "He came late. Came from Oldwater and has a limp, a burned coat and one grey eye.", "Nobody knows more. Came from Oldwater and has a limp, a burned coat and one grey eye."
+    rows = [(1, "x", ["Nestor Verorsk"], one), (2, "x", ["Nestr Verosk"], two), (3, "x", ["Nestr Verosk"], "Nobody knows more. Sells tin whistles to smugglers.")]
+    rows += [(5, "y", ["Petra Torolsk"], "Dr. Torolsk of Pellgate keeps a blind dog."), (6, "y", ["Una Torolsk"], "Dr. Lund of Varnholt sells ink.")]
+    got = {r["observation_id"]: r["entity_id"] for r in link(spark.createDataFrame([(*r, "clash") for r in rows], OBS)).collect()}
+    assert got[1] == got[2] and got[5] != got[6]
+
+
 def test_no_observations(spark):
     assert link(spark.createDataFrame([], OBS)).collect() == []
