@@ -99,7 +99,7 @@ _COARSE = _Coarse()
 
 def coarse_form(text: str) -> str:
     """A value that all texts of one exact form share."""
-    return text.lower().replace(" ", "") if text.isascii() else text.translate(_COARSE)
+    return "".join(text.lower().split()) if text.isascii() else text.translate(_COARSE)
 
 
 def _coarse_hash(*columns: pd.Series) -> pd.Series:

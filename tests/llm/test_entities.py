@@ -102,6 +102,15 @@ def test_coarse_values_are_shared():
     assert not [t for t in texts if coarse_form(t) != coarse_form(exact_form(t))]
 
 
+def test_lookalikes_of_several_lines(spark):
+    from inkloom.llm.lookalike import coarse_form
+
+    assert not [c for c in map(chr, range(0x80)) if coarse_form(f"x{c}y") != coarse_form(f"x{c}yе").removesuffix("e")]
+    rows = [(1, "b", "Anna", "Hello\nworld"), (2, "b", "Anna", "Hеllo\nworld"), (3, "b", "Anna", "to\tbe"), (4, "b", "Anna", "tо\tbe"), (5, "b", "Anna", "Hello\u200b\nworld")]
+    got = {(r["utterance_id_a"], r["utterance_id_b"]) for r in pairs(spark.createDataFrame([(*r, "clash") for r in rows], UTTER), "utterance_id", "book_key", ["speaker", "content"]).collect()}
+    assert got == {(1, 2), (1, 5), (2, 5), (3, 4)}
+
+
 def test_no_utterances(spark):
     assert pairs(spark.createDataFrame([], UTTER), "utterance_id", "book_key", ["speaker", "content"]).collect() == []
 
