@@ -120,6 +120,17 @@ def test_same_full_names(a, b):
     assert compare(a, b)[0] == FULL
 
 
+def test_tokens_are_assigned_as_a_whole(monkeypatch):
+    from inkloom.llm import names
+
+    score = {("aa", "xx"): 0.9, ("aa", "yy"): 0.8, ("bb", "xx"): 0.65}
+    monkeypatch.setattr(names, "token_score", lambda a, b: score.get((a, b), 0.0))
+    assert sorted(names.assignment(("aa", "bb"), ("xx", "yy"))) == [(0.65, 1, 0), (0.8, 0, 1)]
+    compare.cache_clear()
+    assert compare("Aa Bb", "Xx Yy")[0] == FULL
+    compare.cache_clear()
+
+
 def test_other_names():
     assert compare("Anna Holm", "A. Holm")[0] == PARTIAL and compare("Anna Holm", "B. Holm")[0] == CLASH
     assert compare("Una Torolsk", "Petra Torolsk")[0] == CLASH and compare("Anna Holm", "Berta Lund")[0] == NONE
