@@ -43,7 +43,7 @@ REFUSALS = [
     r"ロールプレイ|言語モデル|アシスタント|人工知能|ガイドライン|ポリシー|リクエスト|プロンプト|別の質問|(?:お答え|対応|お手伝い|生成|回答|お応え)(?:することは)?でき(?:ません|かねます)|続けることはできません|応じることはできません",
 ]
 # Parts of words of which one is in every refusal above.
-REFUSAL_STEMS = ["as an ai", "language model", "assist", "role-play", "roleplay", "request", "prompt", "generat", "dialogue", "scene", "story", "turn", "conversation", "character", "person", "scenario", "next line", "content", "repl", "respon", "answer", "guideline", "polic", "anything else", "something else", "ai model", "modelo de", "asistente", "inteligencia", "normas de uso", "juego de rol", "indicaci", "solicitud", "petici", "respuesta", "escena", "diálogo", "dialogo", "personaje", "conversaci", "historia", "contenido", "modell", "assistent", "künstliche", "richtlinie", "bedingung", "rollenspiel", "anfrage", "szene", "antwort", "dialog", "unterhaltung", "figur", "人工智能", "语言模型", "語言模型", "助手", "角色扮演", "内容", "使用", "请求", "换一个", "不便", "无法", "不能", "没法", "需要", "ロールプレイ", "モデル", "アシスタント", "人工知能", "ガイドライン", "ポリシー", "リクエスト", "プロンプト", "質問", "でき"]
+REFUSAL_STEMS = ["as an ai", "language model", "assist", "role-play", "roleplay", "request", "prompt", "generat", "dialogue", "scene", "story", "turn", "conversation", "character", "person", "scenario", "next line", "content", "repl", "respon", "answer", "guideline", "polic", "anything else", "something else", "not something i can", "polít", "polit", "ai model", "modelo de", "asistente", "inteligencia", "normas de uso", "juego de rol", "indicaci", "solicitud", "petici", "respuesta", "escena", "diálogo", "dialogo", "personaje", "conversaci", "historia", "contenido", "modell", "assistent", "künstliche", "richtlinie", "bedingung", "rollenspiel", "anfrage", "szene", "antwort", "dialog", "unterhaltung", "figur", "人工智能", "语言模型", "語言模型", "助手", "角色扮演", "内容", "使用", "请求", "换一个", "不便", "无法", "不能", "没法", "需要", "ロールプレイ", "モデル", "アシスタント", "人工知能", "ガイドライン", "ポリシー", "リクエスト", "プロンプト", "質問", "でき"]
 # Frequent words that no other of these languages shares.
 FUNCTION_WORDS = {
     "en": "the|and|of|is|you|your|that|with|not|for|were|this|have|had|who|are|to|it|she|he|they|we|if|but|my|i|from|there|would|what|only|before|than|which|at|by",

@@ -35,6 +35,14 @@ def test_types(found):
     assert found == want
 
 
+def test_refusals_without_other_stems(spark):
+    from pyspark.sql import functions as F
+    from inkloom.llm.pairs import _refused
+
+    rows = spark.createDataFrame([("i'm sorry, but that's not something i can help with.",), ("lo siento, va contra las políticas de uso.",), ("the baker carried the ladder.",)], "low string")
+    assert [r[0] for r in rows.select(_refused(F.col("low"))).collect()] == [True, True, False]
+
+
 def test_no_rows(spark):
     assert defects(spark.createDataFrame([], SCHEMA)).collect() == []
 
