@@ -3,9 +3,16 @@
 Per source and unit of length (code points, bytes) the discrete hazard of each
 length - how many texts end there of all that get as far - is compared with the
 hazards of the lengths around it; lengths whose excess survives
-Benjamini-Hochberg are limits.  A text is cut if it stops inside a structure
-(fence, JSON value, card, quotation, bracket, clause) or if the ending model
-finds its last sentence unfinished, which at a limit needs less evidence.
+Benjamini-Hochberg are limits.  At a limit the excess gives the odds that a
+text of that length was cut there: of ``n`` texts ``expected`` would have ended
+anyway.
+
+A text is cut if it stops inside a structure (fence, JSON value, card,
+quotation, bracket, clause, word), or if the log-odds of a whole last sentence
+that the ending model gives do not reach the log-odds of a cut that its length
+gives.  ``by`` names what decided: a ``limit`` (the length is one and the
+ending incomplete), elsewhere the ``structure`` or the ``model``; ``needed`` is
+true where the ending alone, at another length, would have passed as whole.
 
 Defined results: null and blank contents are never cut; a repeated row counts
 once; a null source is a source of its own.
@@ -26,11 +33,9 @@ from inkloom.session import cut, table
 NEIGHBOURS = 40
 #: Expected share of false limits.
 FALSE_DISCOVERY = 0.01
-#: Texts that end at a length before it can be a limit.
-LEAST_AT_LIMIT = 4
-#: Log-odds of a whole sentence that an ending without final stop needs: anywhere, more at a limit, more if the reason given is a length.
-WHOLE_ABOVE, AT_LIMIT, SAID_LENGTH = 0.0, 3.0, 1.0
-#: Share of all cards that end with a key for it to be a last key.
+#: Log-odds of a cut that a reason which names a length gives, and an ellipsis after an ending without stop.
+SAID_LENGTH, DOTTED = 1.0, 3.0
+#: Share of the cards of one layout that end with a key, or a line, for it to be a last one.
 LAST_KEY_SHARE = 0.2
 
 # Reasons that mean a length limit, in lower case.
@@ -51,7 +56,7 @@ def hazards(lengths: DataFrame) -> DataFrame:
     ends, risks = F.sum("n").over(near) - F.col("n"), F.avg("at_risk").over(near) * (2 * NEIGHBOURS)
     # Half an ending more, so that an empty neighbourhood proves nothing.
     rate = (ends + 0.5) / F.greatest(risks, F.lit(1.0))
-    found = risky.withColumn("expected", rate * F.col("at_risk")).filter((F.col("n") >= LEAST_AT_LIMIT) & (F.col("n") > F.col("expected")))
+    found = risky.withColumn("expected", rate * F.col("at_risk")).filter(F.col("n") > F.col("expected"))
     log_p = -(F.col("n") * F.log(F.col("n") / F.col("expected")) - F.col("n") + F.col("expected"))
     return found.select("source", "unit", "length", "n", "expected", log_p.alias("log_p"))
 
@@ -91,7 +96,7 @@ def structure(df: DataFrame) -> DataFrame:
     pending = text.rlike(r"[,，、;；:：\-‐‑(（「『“„¿¡]\s*(?:…|\.{3,})?\z") & ~dash & ~F.col("_closed")
     open_ = endings.unclosed(text) & ~dash & ~F.col("_closed")
     whole = F.col("_closed") | dash | (endings.stopped(text) & ~text.rlike(r"(?:…|\.{3,})\z")) | text.rlike(r"[\"”’“』」»）)】\]*]\z")
-    cut_ = F.when(F.col("kind") == "blank", False).when(fence_cut | broken, True).when(F.col("kind") == "json", json_cut).when(F.col("kind") == "card", False).otherwise(pending | open_)
+    cut_ = F.when(F.col("kind") == "blank", False).when(fence_cut | broken, True).when(F.col("kind") == "json", json_cut).when(F.col("kind") == "card", False).otherwise(pending | open_ | (~whole & endings.stops_before(text)))
     df = df.withColumn("cut", F.coalesce(cut_, F.lit(False)))
     return df.withColumn("doubt", (F.col("kind") == "prose") & ~F.col("cut") & ~whole).drop("_closed", "_plain", "_fences")
 
@@ -99,50 +104,77 @@ def structure(df: DataFrame) -> DataFrame:
 def _judge(model: endings.EndingModel):
     def run(batches):
         for batch in batches:
-            tails, cut_ = batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            need = batch.column(3).to_pylist()
+            cut_, tails, odds, piece, limit = (batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))
+            by, needed = ["structure" if c else None for c in cut_], [False] * len(cut_)
             at = [i for i, t in enumerate(tails) if t is not None]
             for i, s in zip(at, model.score([tails[i] for i in at])):
-                cut_[i] = bool(s <= need[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut_, pa.bool_())], ["output_id", "cut"])
+                if piece[i]:
+                    by[i] = "structure"
+                elif s <= odds[i]:
+                    by[i], needed[i] = "model", bool(s > odds[i] - limit[i])
+            kept = [i for i, b in enumerate(by) if b]
+            out = ["limit" if limit[i] > 0 else by[i] for i in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(out, pa.string()), pa.array([needed[i] for i in kept], pa.bool_())], ["output_id", "by", "needed"])
 
     return run
 
 
 class CutOff:
-    """Which outputs are cut, and at which lengths each source cuts; ``outputs`` has output_id, source, content, reason."""
+    """Which outputs are cut, and at which lengths each source cuts; ``outputs`` has output_id, source, content, reason.
+
+    ``found`` is ``output_id, by, needed``, one row per cut output.  The texts
+    are read once: what is needed of each goes to a narrow table.
+    """
 
     def __init__(self, outputs: DataFrame, sample: int = endings.SAMPLE_TEXTS):
-        self.outputs = outputs.select("output_id", "source", "content", "reason").distinct()
-        said = self.outputs.filter(F.col("content").isNotNull() & (F.length("content") > 0))
-        units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("content").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("content").alias("length"))))
-        self.limits = cut(limits(said.select("source", units.alias("x")).select("source", "x.unit", "x.length")), "limits")
-        shaped = structure(self.outputs)
-        model = endings.train(endings.sample_texts(shaped.filter("kind = 'prose'"), "_text", F.col("output_id"), sample))
-        at = self.limits.select("source", "unit", "length").distinct()
-        sized = shaped.withColumns({"chars": F.length("content"), "bytes": F.octet_length("content")})
+        outputs = outputs.select("output_id", "source", "content", "reason")
+        share = endings.sample_share(outputs.count(), sample)
+        h = F.xxhash64("output_id", "_text")
+        shaped = structure(outputs.withColumns({"chars": F.coalesce(F.length("content"), F.lit(0)), "bytes": F.coalesce(F.octet_length("content"), F.lit(0))}))
+        dotted = F.col("_text").rlike(r"(?:…|\.{3,})\z")
+        lines = F.split("_text", "\n")
+        tail = F.when(F.col("doubt"), F.expr(r"right(regexp_replace(_text, '\\s*(?:…|\\.{3,})$', ''), 400)"))
+        sampled = (F.col("kind") == "prose") & endings.drawn(F.col("_h"), share) & endings.stopped(F.col("_text"))
+        narrow = shaped.withColumn("_h", h).select("output_id", "source", "chars", "bytes", F.coalesce(F.lower(F.trim("reason")).isin(LENGTH_REASONS), F.lit(False)).alias("said_length"), dotted.alias("dotted"), "cut", tail.alias("tail"), F.when(F.col("kind") == "card", F.struct(F.regexp_extract(lines[0], r"^([^:]{1,40}):", 1).alias("layout"), F.element_at(lines, -1).alias("line"))).alias("card"), F.when(sampled, F.struct(endings.passage(F.col("_text"), F.abs(F.xxhash64("_h"))).alias("t"), F.col("_h").alias("h"))).alias("passage"), F.col("_h").alias("form"))
+        self.shaped = cut(narrow, "shaped")
+        once = self.shaped.dropDuplicates(["output_id", "source", "form", "said_length"])
+        units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
+        self.limits = cut(limits(once.filter("chars > 0").select("source", units.alias("x")).select("source", "x.unit", "x.length")), "limits")
+        model = endings.train(endings.least_passages(self.shaped.filter("passage is not null").select("passage.t", "passage.h"), sample))
+        judged = self._doubtful_cards(self.shaped)
         for unit in ("chars", "bytes"):
-            own = at.filter(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("length").alias(unit), F.lit(True).alias(f"at_{unit}"))
-            sized = sized.join(own, sized["source"].eqNullSafe(own["s"]) & (sized[unit] == own[unit]), "left").drop("s").drop(own[unit])
-        limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
-        said_length = F.coalesce(F.lower(F.trim("reason")).isin(LENGTH_REASONS), F.lit(False))
-        need = F.lit(WHOLE_ABOVE) + F.when(limit, F.lit(AT_LIMIT)).otherwise(0.0) + F.when(said_length, F.lit(SAID_LENGTH)).otherwise(0.0) + F.when(F.col("_text").rlike(r"(?:…|\.{3,})\z"), F.lit(AT_LIMIT)).otherwise(0.0)
-        cards = self._cards(shaped)
-        judged = sized.select("output_id", "cut", F.when(F.col("doubt"), F.expr(r"right(regexp_replace(_text, '\\s*(?:…|\\.{3,})$', ''), 400)")).alias("tail"), need.alias("need"))
-        judged = judged.mapInArrow(_judge(model), "output_id bigint, cut boolean").filter("cut").select("output_id")
-        self.found = judged.unionByName(cards).distinct()
+            own = self.limits.filter(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("length").alias("_l"), F.log((F.col("n") - F.col("expected")) / F.col("expected")).alias(f"at_{unit}"))
+            judged = judged.join(own, judged["source"].eqNullSafe(own["_s"]) & (judged[unit] == own["_l"]), "left").drop("_s", "_l")
+        limit = F.greatest(F.coalesce("at_chars", F.lit(0.0)), F.coalesce("at_bytes", F.lit(0.0)), F.lit(0.0))
+        odds = limit + F.when(F.col("said_length"), F.lit(SAID_LENGTH)).otherwise(0.0) + F.when(F.col("dotted"), F.lit(DOTTED)).otherwise(0.0)
+        # The words inside all texts tell a piece of a word.
+        asked = judged.withColumn("word", F.coalesce(endings.last_word(F.col("tail")), F.lit("")))
+        pieces = endings.pieces_of_words(asked, endings.inner_words(outputs, "content")).withColumn("piece", F.lit(True))
+        asked = asked.join(pieces, "word", "left").select("output_id", "cut", "tail", odds.alias("odds"), F.coalesce("piece", F.lit(False)).alias("piece"), limit.alias("limit"))
+        self.found = asked.mapInArrow(_judge(model), "output_id bigint, by string, needed boolean").groupBy("output_id").agg(F.min("by").alias("by"), F.min("needed").alias("needed"))
 
     @staticmethod
-    def _cards(shaped: DataFrame) -> DataFrame:
-        """Cards that stop before a usual last key, or inside a usual last line."""
-        cards = shaped.filter("kind = 'card'").select("output_id", F.element_at(F.split("_text", "\n"), -1).alias("line"))
-        cards = cards.withColumn("key", F.regexp_extract("line", r"^([^:]{1,40}):", 1))
-        total = cards.agg(F.count("*").alias("cards"))
-        keys = cards.groupBy("key").agg(F.count("*").alias("n")).join(F.broadcast(total)).filter(F.col("n") >= F.col("cards") * LAST_KEY_SHARE).select("key", F.lit(True).alias("usual"))
-        lines = cards.groupBy("line").agg(F.count("*").alias("n")).join(F.broadcast(total)).filter(F.col("n") >= F.col("cards") * LAST_KEY_SHARE).select(F.col("line").alias("whole"))
-        odd = cards.join(F.broadcast(keys), "key", "left").filter("usual is null").select("output_id")  # at most 1 / share keys
-        part = cards.join(F.broadcast(lines), (F.length("line") < F.length("whole")) & F.startswith(F.col("whole"), F.col("line"))).select("output_id")
-        return odd.unionByName(part)
+    def _doubtful_cards(shaped: DataFrame) -> DataFrame:
+        """Mark the cards that stop before a usual last key of their layout, or inside a usual last line; other last values than the usual ones go to the ending model.
+
+        Cards with the same first key are of one layout.
+        """
+        cards = shaped.filter("card is not null").select("card.layout", "card.line").withColumn("key", F.regexp_extract("line", r"^([^:]{1,40}):", 1))
+        total = cards.groupBy("layout").agg(F.count("*").alias("cards"))
+        usual_keys = cards.groupBy("layout", "key").agg(F.count("*").alias("n")).join(total, "layout").filter(F.col("n") >= F.col("cards") * LAST_KEY_SHARE).select(F.col("layout").alias("_layout"), F.col("key").alias("_key"), F.lit(True).alias("_usual"))
+        # At most 1 / share lines a layout.
+        usual_lines = cards.groupBy("layout", "line").agg(F.count("*").alias("n")).join(total, "layout").filter(F.col("n") >= F.col("cards") * LAST_KEY_SHARE).groupBy("layout").agg(F.collect_list("line").alias("_lines")).withColumnRenamed("layout", "_of")
+        rows = shaped.withColumn("_line_key", F.regexp_extract("card.line", r"^([^:]{1,40}):", 1))
+        rows = rows.join(usual_keys, (rows["card.layout"] == usual_keys["_layout"]) & (rows["_line_key"] == usual_keys["_key"]), "left")
+        rows = rows.join(usual_lines, rows["card.layout"] == usual_lines["_of"], "left")
+        line = F.col("card.line")
+        lines = F.coalesce("_lines", F.array().cast("array<string>"))
+        part = F.exists(lines, lambda x: (F.length(x) > F.length(line)) & x.startswith(line))
+        is_card = F.col("card").isNotNull()
+        stops_short = is_card & (F.col("_usual").isNull() | part)
+        odd = is_card & ~stops_short & ~F.array_contains(lines, line) & ~endings.stopped(line)
+        value = F.regexp_extract("card.line", r"^[^:]{1,40}:\s*(.*)$", 1)
+        return rows.withColumns({"cut": F.col("cut") | F.coalesce(stops_short, F.lit(False)), "tail": F.when(F.coalesce(odd, F.lit(False)), F.right(value, F.lit(400))).otherwise(F.col("tail"))}).drop("_line_key", "_layout", "_key", "_usual", "_of", "_lines")
 
 
 def _outputs(spark, sf_dir: str) -> DataFrame:
@@ -150,13 +182,18 @@ def _outputs(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
+    return CutOff(_outputs(spark, sf_dir)).found.select("output_id")
+
+
+def p3_evidence(spark, sf_dir: str) -> DataFrame:
+    """``output_id, by, needed``: what decided that an output is cut."""
     return CutOff(_outputs(spark, sf_dir)).found
 
 
 def p3_rates(spark, sf_dir: str) -> DataFrame:
     """``model, outputs, cut_outputs, cut_share``."""
     work = CutOff(_outputs(spark, sf_dir))
-    marked = work.outputs.select("output_id", "source").distinct().join(work.found.withColumn("cut", F.lit(1)), "output_id", "left")
+    marked = work.shaped.select("output_id", "source").distinct().join(work.found.select("output_id", F.lit(1).alias("cut")), "output_id", "left")
     return marked.groupBy(F.col("source").alias("model")).agg(F.count("*").alias("outputs"), F.coalesce(F.sum("cut"), F.lit(0)).alias("cut_outputs"), (F.coalesce(F.sum("cut"), F.lit(0)) / F.count("*")).alias("cut_share"))
 
 

@@ -1,9 +1,13 @@
 """Whether a text stops at the end of a sentence that only lacks its final stop.
 
-A logistic regression over hashed features of the last words and letters,
-trained here on a bounded sample of texts that do end in a final stop: their
-sentences without the stop are whole, the same sentences cut at random places
-are not.  The bound is ``SAMPLE_TEXTS``; what is scored with it is everything.
+Two rules come first: a word that can't be the last of a sentence, and a piece
+of a word, one that stands nowhere inside a text while longer words begin with
+it.  The rest goes to a logistic regression over hashed features of the last
+words and letters, trained here on a bounded sample of texts that do end in a
+final stop: their sentences without the stop are whole, the same sentences cut
+at random places are not.  The bounds of the sample are ``SAMPLE_TEXTS``,
+``SAMPLE_CHARS`` and ``SAMPLE_SENTENCES``; words are counted and endings scored
+in all texts.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 
 #: Texts in the training sample, at most.
 SAMPLE_TEXTS = 6000
-#: Code points of a sampled text that are read, from its end.
+#: Code points of the passage that is taken of a sampled text, at a place drawn by hash.
 SAMPLE_CHARS = 1200
+#: Sentences of a passage that are learned from, drawn at random.
+SAMPLE_SENTENCES = 6
 BITS = 18
 EPOCHS = 4
 CUTS = 4
@@ -28,6 +34,11 @@ CUTS = 4
 STOPS = ".!?。！？｡"
 CLOSERS = "\"'”’“』」»）)】]*"
 TRAILS = "—–―…‥"
+# Words that stand before another one, in Latin script.
+NEVER_LAST = "a an the and or but nor if than because although unless whose my your our their its every of into onto toward towards during between among el la los las un una unos unas de del al y o ni si pero porque aunque mi tu su sus mis tus con en por para que cuyo cuya desde hasta hacia und oder aber weil wenn dass ein des dem mein meinen meinem dein deinen deinem unser unseren von vom zum zur beim für ohne gegen".split()
+# Characters that stand before another word, in Chinese and Japanese.
+NEVER_LAST_WIDE = "的和与在把被对从到给向往又跟让叫将或则且若为のをがはにでへとや"
+_LETTERS = r"[a-zß-öø-ɏ]++(?:['’\-][a-zß-öø-ɏ]++)*+"
 _SENTENCE = re.compile(rf"[^{re.escape(STOPS + TRAILS)}\n]+[{re.escape(STOPS)}]")
 _BREAK = re.compile(rf"[{re.escape(STOPS + TRAILS)}\n*]")
 _OPENERS = " \t\"'“„«「『(（¿¡>-*"
@@ -87,14 +98,13 @@ def train(texts: list[str], seed: int = 7) -> EndingModel:
     vocabulary_texts, training = texts[::2], texts[1::2]
     known: set[int] = set()
     for t in vocabulary_texts:
-        known.update(zlib.crc32(w.lower().encode()) for w in _WORD.findall(t[-SAMPLE_CHARS:]))
+        known.update(zlib.crc32(w.lower().encode()) for w in _WORD.findall(t))
     rows, labels = [], []
     for t in training:
-        for m in list(_SENTENCE.finditer(t[-SAMPLE_CHARS:]))[-6:]:
-            begin, end = m.span()
-            whole = t[-SAMPLE_CHARS:][:end - 1]
-            if end - begin < 6:
-                continue
+        spans = [m.span() for m in _SENTENCE.finditer(t) if m.end() - m.start() >= 6]
+        for i in sorted(rng.permutation(len(spans))[:SAMPLE_SENTENCES].tolist()):
+            begin, end = spans[i]
+            whole = t[:end - 1]
             rows.append(tail_features(whole, known))
             labels.append(1.0)
             for k in rng.integers(begin + 2, end - 1, CUTS).tolist():
@@ -122,17 +132,56 @@ def train(texts: list[str], seed: int = 7) -> EndingModel:
     return EndingModel(weights.astype(np.float32).astype(np.float64), frozenset(known))
 
 
+def passage(text: Column, place: Column) -> Column:
+    """``SAMPLE_CHARS`` code points of a text, at a place drawn by a hash; a shorter text is taken whole."""
+    return F.substring(text, (F.pmod(place, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+
+
+def sample_share(rows: int, size: int = SAMPLE_TEXTS) -> float:
+    """The share of all rows that is taken by hash before the bound, so that no task sends many."""
+    return min(1.0, 4.0 * size / max(1, rows))
+
+
+def drawn(h: Column, share: float) -> Column:
+    """Whether a row with the hash ``h`` is among that share."""
+    return F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
 def sample_texts(df: DataFrame, text: str, key: Column, size: int = SAMPLE_TEXTS) -> list[str]:
-    """A bounded sample of texts that end in a final stop, the same in every run.
-
-    Rows are first thinned by hash to a small multiple of the bound, so that no
-    task sends many; then the least hashes are taken.
-    """
-    total = df.count()
-    share = min(1.0, 4.0 * size / max(1, total))
-    stopped = df.filter(F.col(text).rlike(f"[{re.escape(STOPS)}][{re.escape(CLOSERS)}]{{0,3}}\\s*\\z")).select(F.expr(f"right(`{text}`, {SAMPLE_CHARS})").alias("t"), F.xxhash64(key, text).alias("h"))
-    thinned = stopped.filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    return [r["t"] for r in thinned.orderBy("h", "t").limit(size).collect()]  # at most ``size`` rows
+    """Passages of a bounded sample of texts that end in a final stop, the same in every run: those with the least hashes."""
+    h = F.xxhash64(key, text)
+    chosen = df.filter(F.col(text).isNotNull()).withColumn("_h", h).filter(drawn(F.col("_h"), sample_share(df.count(), size))).filter(stopped(F.col(text)))
+    return least_passages(chosen.select(passage(F.col(text), F.abs(F.xxhash64("_h"))).alias("t"), F.col("_h").alias("h")), size)
+
+
+def least_passages(passages: DataFrame, size: int = SAMPLE_TEXTS) -> list[str]:
+    """The passages ``t`` with the least hashes ``h``, on the driver: at most ``size`` rows of ``SAMPLE_CHARS`` code points."""
+    return [r["t"] for r in passages.orderBy("h", "t").limit(size).collect()]
+
+
+# -- abrupt endings -------------------------------------------------------
+
+
+def last_word(text: Column) -> Column:
+    """The word in Latin script that a text ends with, in lower case; empty if it ends otherwise."""
+    return F.regexp_extract(F.lower(text), f"({_LETTERS})\\s*\\z", 1)
+
+
+def stops_before(text: Column) -> Column:
+    """Whether a text ends with a word that can't be the last of its sentence."""
+    return last_word(text).isin(NEVER_LAST) | text.rlike(f"[{NEVER_LAST_WIDE}]\\s*\\z")
+
+
+def inner_words(df: DataFrame, text: str) -> DataFrame:
+    """``word``: every word in Latin script that something follows in some text, once."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"({_LETTERS})(?=[^a-zß-öø-ɏ'’\\-])"), F.lit(1))
+    return df.select(F.explode(F.array_distinct(found)).alias("word")).distinct()
+
+
+def pieces_of_words(last: DataFrame, words: DataFrame) -> DataFrame:
+    """``word`` of ``last`` that is no word inside any text, while longer ones begin with it."""
+    begun = words.filter(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word")).distinct()
+    return last.select("word").filter("word <> ''").distinct().join(words, "word", "left_anti").join(begun, "word", "left_semi")
 
 
 # -- structure ------------------------------------------------------------

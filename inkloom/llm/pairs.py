@@ -2,9 +2,10 @@
 
 The rules run from the most to the least certain: nothing said, a refusal, a
 copy of the prompt, another language, a cut.  Every rule that holds is named in
-``defects``; ``defect`` is the first of them.  All rules are column
-expressions; only the endings that lack a final stop and break no other rule
-go through the trained ending model.
+``defects``; ``defect`` is the first of them.  The rules are column
+expressions, and for pieces of words a join with the words of all responses;
+only the endings that lack a final stop and that no rule decides go through
+the trained ending model, and ``cut_by`` says so.
 
 Defined results: a null response is ``empty``; a null or missing prompt can't
 be copied and has no language; a null id keeps its row; a repeated row gives
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm import endings
-from inkloom.session import table
+from inkloom.session import cut, table
 
 # What stands for nothing, in the languages of the corpus.
 PLACEHOLDERS = ["none", "null", "nil", "n/a", "na", "nan", "undefined", "empty", "blank", "no reply", "no response", "no answer", "no content", "nothing", "tbd", "todo", "ninguno", "ninguna", "sin respuesta", "vacío", "nulo", "keine", "keine antwort", "leer", "无", "無", "空", "无回复", "无回答", "暂无", "没有回复", "なし", "無し", "空白", "未回答", "回答なし"]
@@ -42,8 +43,6 @@ REFUSALS = [
     # Japanese
     r"ロールプレイ|言語モデル|アシスタント|人工知能|ガイドライン|ポリシー|リクエスト|プロンプト|別の質問|(?:お答え|対応|お手伝い|生成|回答|お応え)(?:することは)?でき(?:ません|かねます)|続けることはできません|応じることはできません",
 ]
-# Parts of words of which one is in every refusal above.
-REFUSAL_STEMS = ["as an ai", "language model", "assist", "role-play", "roleplay", "request", "prompt", "generat", "dialogue", "scene", "story", "turn", "conversation", "character", "person", "scenario", "next line", "content", "repl", "respon", "answer", "guideline", "polic", "anything else", "something else", "not something i can", "polít", "polit", "ai model", "modelo de", "asistente", "inteligencia", "normas de uso", "juego de rol", "indicaci", "solicitud", "petici", "respuesta", "escena", "diálogo", "dialogo", "personaje", "conversaci", "historia", "contenido", "modell", "assistent", "künstliche", "richtlinie", "bedingung", "rollenspiel", "anfrage", "szene", "antwort", "dialog", "unterhaltung", "figur", "人工智能", "语言模型", "語言模型", "助手", "角色扮演", "内容", "使用", "请求", "换一个", "不便", "无法", "不能", "没法", "需要", "ロールプレイ", "モデル", "アシスタント", "人工知能", "ガイドライン", "ポリシー", "リクエスト", "プロンプト", "質問", "でき"]
 # Frequent words that no other of these languages shares.
 FUNCTION_WORDS = {
     "en": "the|and|of|is|you|your|that|with|not|for|were|this|have|had|who|are|to|it|she|he|they|we|if|but|my|i|from|there|would|what|only|before|than|which|at|by",
@@ -80,27 +79,26 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def _refused(low: Column) -> Column:
-    """Whether lower-case text has a refusal; the patterns are only tried where a word of theirs occurs."""
-    hint = F.lit(False)
-    for stem in REFUSAL_STEMS:
-        hint = hint | F.contains(low, F.lit(stem))
-    any_ = F.lit(False)
-    for pattern in REFUSALS:
-        any_ = any_ | low.rlike(pattern.replace("AI助手", "ai助手"))
-    return F.when(hint, any_).otherwise(F.lit(False))
-
-
-def _copied(said: list[Column], forms: list[Column]) -> Column:
-    """Whether any normal form of the response gives back one of the prompt."""
+    """Whether lower-case text has a refusal in any language."""
+    return low.rlike("|".join(f"(?:{p})" for p in REFUSALS).replace("AI助手", "ai助手"))
+
+
+def _copied(said: list[str], forms: list[str]) -> Column:
+    """Whether any normal form of the response gives back one of the prompt; forms that equal an earlier one aren't tried again."""
     out = F.lit(False)
-    for s in said:
-        for n in forms:
+    for i, s in enumerate(map(F.col, said)):
+        for j, n in enumerate(map(F.col, forms)):
             size, other = F.length(s), F.length(n)
             near = F.least(F.greatest(F.lit(4), F.floor(other * 0.07)), F.floor(other * 0.15)).cast("int")
             fits = (other >= 6) & (size >= other * 0.7) & (other >= size * 0.7)
-            same_digits = F.regexp_replace(s, r"\D+", "") == F.regexp_replace(n, r"\D+", "")
-            edited = F.when((F.abs(size - other) <= near) & (F.levenshtein(s, n, 400).between(0, near)), same_digits).otherwise(F.lit(False))
-            out = out | F.when(fits, F.contains(n, s) | F.contains(s, n) | edited).otherwise(F.lit(False))
+            digits = F.regexp_replace(s, r"\D+", "") == F.regexp_replace(n, r"\D+", "")
+            edited = F.when((F.abs(size - other) <= near) & digits, F.call_function("levenshtein", s, n, near) >= 0).otherwise(F.lit(False))
+            again = F.lit(False)
+            for e in said[:i]:
+                again = again | (s == F.col(e))
+            for e in forms[:j]:
+                again = again | (n == F.col(e))
+            out = out | F.when(fits & ~again, F.contains(n, s) | F.contains(s, n) | edited).otherwise(F.lit(False))
     return F.coalesce(out, F.lit(False))
 
 
@@ -117,39 +115,51 @@ def rules(pairs: DataFrame) -> DataFrame:
     placeholder = core.isin(PLACEHOLDERS) & ~bare.rlike(r"[.!?。！？]$|[,;，；]")
     silent = ~bare.rlike(r"[\p{L}\p{N}]")
     df = df.withColumns({"_empty": silent | placeholder, "_trails": endings.trails_off(text), "_stops": endings.stopped(text) | text.rlike(rf"[{re.escape(endings.CLOSERS)}]\s*\z")})
-    said, forms = [F.col("_said"), F.col("_said_plain")], [F.col("_n_prompt"), F.col("_n_unlabelled"), F.col("_n_spoken")]
+    said, forms = ["_said", "_said_plain"], ["_n_prompt", "_n_unlabelled", "_n_spoken"]
     comma = text.rlike(r"[,，、;；:：\-‐‑(（「『“„¿¡]\s*\z")
-    flags = {"refusal": _refused(F.col("_low")), "copy": _copied(said, forms), "language": F.coalesce(F.col("_mine") != F.col("_theirs"), F.lit(False)), "truncated": ~F.col("_trails") & (comma | endings.unclosed(text))}
+    flags = {"refusal": _refused(F.col("_low")), "copy": _copied(said, forms), "language": F.coalesce(F.col("_mine") != F.col("_theirs"), F.lit(False)), "truncated": ~F.col("_trails") & (comma | endings.unclosed(text) | (~F.col("_stops") & endings.stops_before(text)))}
     df = df.withColumns({f"_{k}": ~F.col("_empty") & v for k, v in flags.items()})
     named = F.array_compact(F.array(*[F.when(F.col(f"_{k}"), F.lit(k)) for k in ("empty", *flags)]))
     return df.select(*pairs.columns, named.alias("defects"), (~F.col("_empty") & ~F.col("_truncated") & ~F.col("_trails") & ~F.col("_stops")).alias("open_end"))
 
 
 def _judge(model: endings.EndingModel):
+    """Name the cuts among the endings that the rules left open."""
+
     def run(batches):
         for batch in batches:
-            tails, defects = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            tails, pieces, defects = (batch.column(i).to_pylist() for i in (2, 3, 1))
+            evidence = ["rule" if "truncated" in (d or []) else None for d in defects]
             at = [i for i, t in enumerate(tails) if t is not None]
             for i, s in zip(at, model.score([tails[i].rstrip() for i in at])):
-                if s <= 0:
+                if pieces[i] or s <= 0:
                     defects[i] = [*(defects[i] or []), "truncated"]
+                    evidence[i] = "piece" if pieces[i] else "model"
             # Sound pairs are dropped here: a filter on the rules would be pushed into them and compute them again.
             kept = [i for i, d in enumerate(defects) if d]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([defects[i] for i in kept], pa.list_(pa.string()))], ["candidate_id", "defects"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([defects[i] for i in kept], pa.list_(pa.string())), pa.array([evidence[i] for i in kept], pa.string())], ["candidate_id", "defects", "cut_by"])
 
     return run
 
 
 def defects(candidates: DataFrame, sample: int = endings.SAMPLE_TEXTS) -> DataFrame:
-    """``candidate_id, defect, defects`` of the defective rows of a table of candidates."""
+    """``candidate_id, defect, defects, cut_by`` of the defective rows of a table of candidates.
+
+    ``cut_by`` says what showed a cut: a ``rule`` (an open delimiter, a mark or
+    a word that can't be the last), a ``piece`` of a word, or, where no rule
+    holds, the ending ``model``; null if nothing is cut.
+    """
     last = F.element_at(F.filter("messages", lambda m: m["role"] == "user"), -1)
     before = F.when(F.try_element_at("messages", F.lit(-1))["role"] == "assistant", F.slice("messages", 1, F.greatest(F.size("messages") - 1, F.lit(0)))).otherwise(F.col("messages"))
     context = F.array_join(F.transform(before, lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
     pairs = candidates.select("candidate_id", F.col("reference_response").alias("response"), F.when(F.size("messages") > 0, last["content"]).alias("prompt"), context.alias("context"))
     model = endings.train(endings.sample_texts(pairs, "response", F.col("candidate_id"), sample))
-    judged = rules(pairs).select("candidate_id", "defects", F.when(F.col("open_end"), F.expr("right(response, 400)")).alias("tail"))
-    found = judged.mapInArrow(_judge(model), "candidate_id bigint, defects array<string>")
-    return found.select("candidate_id", F.col("defects")[0].alias("defect"), "defects").distinct()
+    tail = F.when(F.col("open_end"), F.expr("right(response, 400)"))
+    ruled = cut(rules(pairs).select("candidate_id", "defects", tail.alias("tail")).withColumn("word", F.coalesce(endings.last_word(F.col("tail")), F.lit(""))), "ruled")
+    pieces = endings.pieces_of_words(ruled, endings.inner_words(pairs, "response")).withColumn("piece", F.lit(True))
+    judged = ruled.join(pieces, "word", "left").select("candidate_id", "defects", "tail", "piece")
+    found = judged.mapInArrow(_judge(model), "candidate_id bigint, defects array<string>, cut_by string")
+    return found.select("candidate_id", F.col("defects")[0].alias("defect"), "defects", "cut_by").distinct()
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
@@ -157,4 +167,4 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p1_defects(spark, sf_dir: str) -> DataFrame:
-    return defects(table(spark, sf_dir, "candidates")).select("candidate_id", "defect", F.array_join("defects", ",").alias("defects"))
+    return defects(table(spark, sf_dir, "candidates")).select("candidate_id", "defect", F.array_join("defects", ",").alias("defects"), "cut_by")

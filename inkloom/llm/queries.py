@@ -11,6 +11,7 @@ QUERIES = {
     "p2_splits": splits.p2_splits,
     "p2_balance": splits.p2_balance,
     "p3_found": cutoff.p3_found,
+    "p3_evidence": cutoff.p3_evidence,
     "p3_rates": cutoff.p3_rates,
     "p3_limits": cutoff.p3_limits,
     "p4_found": conversations.p4_found,

@@ -78,5 +78,22 @@ def test_limits_stand_out(spark):
     assert {(r["source"], r["length"]) for r in found} == {("a", 300)}
 
 
+def test_only_the_limit_decides(spark):
+    """A last sentence that could be whole is cut where the hazard of its length is far above its neighbours', and not elsewhere."""
+    texts = [f"The {a} {b} of Greycombe emptied every {c} that winter. No one followed the {b} home{d}." for a in ("old", "young", "tall", "brave") for b in ("tailor", "weaver", "baker") for c in ("river", "cellar", "barrel", "wardrobe") for d in ("", " to Dunmarrow", " to Wex")]
+    ending = "No one followed the tailor home"
+    pad = lambda n: ("The tailor of Greycombe emptied every river. " * 9)[: n - len(ending) - 2].rstrip() + ". "
+    fit = lambda n: (pad(n) + ending).rjust(n, "A")[-n:]
+    rows = [(i, "m", t, "stop") for i, t in enumerate(texts)] + [(1000 + i, "m", fit(300), "stop") for i in range(40)] + [(2000, "m", fit(290), "stop")]
+    rows += [(3000 + i, "m", (texts[i] + " " + texts[i + 1])[: 210 + i % 37] + ".", "stop") for i in range(100)]
+    got = {r["output_id"]: (r["by"], r["needed"]) for r in CutOff(outputs(spark, rows)).found.collect()}
+    assert 2000 not in got and all(got[1000 + i] == ("limit", True) for i in range(40))
+
+
+def test_cards_of_two_layouts(spark):
+    rows = [(i, "m", f"name: A{i}\nhome: B\nstatus: complete", "stop") for i in range(50)] + [(100 + i, "m", f"item: C{i}\nprice: {i}", "stop") for i in range(5)] + [(200, "m", "name: Z\nhome: B\nstatus: comp", "stop"), (201, "m", "name: Z\nhome: B", "stop")]
+    assert {r["output_id"] for r in CutOff(outputs(spark, rows)).found.collect()} == {200, 201}
+
+
 def test_no_outputs(spark):
     assert CutOff(outputs(spark, [])).found.collect() == []
