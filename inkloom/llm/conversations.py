@@ -1,8 +1,9 @@
 """Problem 4: rebuilding conversations from message rows, and dropping the unusable ones.
 
 Rows without a conversation are put together as components over reply links
-(a tool's answer to a call) and quote links (a line that repeats an earlier
-message after ``>``).  Ordering doesn't gather a conversation: rows are range
+(a tool's answer to a call), quote links (lines after ``>`` that repeat a whole
+message) and links of a message to itself, delivered again.  A link that more
+than one conversation could answer is none.  Ordering doesn't gather a conversation: rows are range
 partitioned by conversation and time, so that a hot one lies in many
 partitions; each partition sums up its part of every conversation, and the
 parts, at most one per partition, are folded in order.
@@ -20,8 +21,8 @@ from inkloom.operators.components import components
 from inkloom.session import cut, table
 
 ROLES = ["user", "assistant", "tool", "system"]
-#: Code points that a quoted line has at least, to be a link.
-QUOTE_CHARS = 12
+#: A block of lines after ``>``, and the marks before them.
+QUOTED, QUOTE_MARK = r"(?m)(?:^[ \t]*>[^\n]*(?:\n|\z))+", r"(?m)^[ \t]*>[ \t]?"
 NARRATOR = "Environment"
 
 
@@ -30,27 +31,59 @@ def visible(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\s\p{Z}\p{C}\x{115f}\x{1160}\x{3164}\x{ffa0}\x{2800}]"), F.lit(False))
 
 
+def _digest(text: Column) -> Column:
+    """A key for texts that are equal but for line ends and blanks around them."""
+    return F.md5(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+
+
+def _node(session: Column, row: Column) -> Column:
+    """An even number for a known conversation, an odd one for a row without; ids beyond 2**62 raise."""
+    return F.when(session.isNull(), row.cast("bigint") * 2 + 1).otherwise(session.cast("bigint") * 2)
+
+
+def links(messages: DataFrame) -> DataFrame:
+    """``a, b``: ids of messages of one conversation, of which at least one lacks its ``chat_session_id``.
+
+    A link comes from a key that one side names (a call's id, a quoted text)
+    and the other side bears.  Bearers are counted by conversation, rows
+    without one each by itself, after equal ones (role, content and time) are
+    taken together: where several bear the key, the key links nothing.
+    """
+    slim = messages.filter(F.col("message_id").isNotNull()).select("message_id", "content", "tool_calls_json", "tool_call_id", "chat_session_id", "sender_role", "created_at")
+    lost = F.col("chat_session_id").isNull()
+    # Equal rows without a conversation are one message.
+    again = slim.filter(lost & F.col("content").isNotNull() & F.col("created_at").isNotNull()).groupBy(F.xxhash64("sender_role", "content", "created_at").alias("_h"), "sender_role", "created_at", F.md5("content").alias("_d"))
+    first = again.agg(F.min("message_id").alias("one"), F.collect_set("message_id").alias("ids")).filter(F.size("ids") > 1).select("one", F.explode("ids").alias("message_id"))
+    same = first.filter("one <> message_id").select(F.col("one").alias("a"), F.col("message_id").alias("b"))
+    owned = slim.join(first, "message_id", "left").withColumn("owner", _node(F.col("chat_session_id"), F.coalesce("one", "message_id"))).withColumn("lost", lost)
+    calls = F.regexp_extract_all("tool_calls_json", F.lit(r'"id"\s*:\s*"([^"]+)"'), F.lit(1))
+    blocks = F.transform(F.regexp_extract_all("content", F.lit(QUOTED), F.lit(0)), lambda q: _digest(F.regexp_replace(q, QUOTE_MARK, "")))
+    # The keys that rows bear, and those they name.
+    text = F.when(visible(F.col("content")), _digest(F.col("content")))
+    bears = owned.select("message_id", "owner", "lost", F.explode(F.array_distinct(F.concat(F.transform(F.coalesce(calls, F.array().cast("array<string>")), lambda c: F.concat(F.lit("c"), c)), F.array_compact(F.array(F.concat(F.lit("q"), text)))))).alias("key"))
+    names = owned.select("message_id", "owner", "lost", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(F.concat(F.lit("c"), F.col("tool_call_id")))), F.transform(F.coalesce(blocks, F.array().cast("array<string>")), lambda c: F.concat(F.lit("q"), c))))).alias("key"))
+    named = names.select("key").distinct()
+    single = bears.join(named, "key", "left_semi").groupBy("key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.min("message_id").alias("b"), F.min("lost").alias("b_lost")).filter("lo = hi").select("key", "b", "b_lost", F.col("lo").alias("b_owner"))
+    found = names.join(single, "key").filter("owner <> b_owner and (lost or b_lost)").select(F.col("message_id").alias("a"), "b")
+    return found.unionByName(same)
+
+
 def identify(messages: DataFrame) -> DataFrame:
-    """Give every row without ``chat_session_id`` one: the least known of its component, else minus its least message id, minus one."""
-    lost = messages.filter(F.col("chat_session_id").isNull())
-    if lost.isEmpty():
-        return messages
-    slim = messages.select("message_id", "content", "tool_calls_json", "tool_call_id", "chat_session_id")
-    calls = slim.select(F.col("message_id").alias("a"), F.explode(F.regexp_extract_all("tool_calls_json", F.lit(r'"id"\s*:\s*"([^"]+)"'), F.lit(1))).alias("call"))
-    replies = calls.join(slim.filter("tool_call_id is not null").select(F.col("message_id").alias("b"), F.col("tool_call_id").alias("call")), "call").select("a", "b")
-    said = slim.filter(F.length(F.trim("content")) >= QUOTE_CHARS).groupBy(F.md5(F.trim("content")).alias("digest")).agg(F.min("message_id").alias("b"))
-    quoted = slim.select(F.col("message_id").alias("a"), F.md5(F.trim(F.regexp_extract("content", r"(?m)^>[ \t]*(.+)$", 1))).alias("digest"))
-    quotes = quoted.join(said, "digest").filter("a <> b").select("a", "b")
-    # Rows of one known conversation belong together as well.
-    known = slim.filter("chat_session_id is not null").groupBy("chat_session_id").agg(F.min("message_id").alias("a"))
-    same = slim.join(known, "chat_session_id").select("a", F.col("message_id").alias("b"))
-    own = lost.select(F.col("message_id").alias("a"), F.col("message_id").alias("b"))
-    linked = replies.unionByName(quotes)
-    near = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(lost.select(F.col("message_id").alias("a")).distinct(), "a", "left_semi")
-    parts = cut(components(near.unionByName(same).unionByName(own)), "sessions")
-    named = slim.select("message_id", "chat_session_id").join(parts, parts["node"] == F.col("message_id")).groupBy("component").agg(F.min("chat_session_id").alias("known"), F.min("message_id").alias("first"))
-    found = parts.join(named, "component").select(F.col("node").alias("message_id"), F.coalesce("known", -F.col("first") - 1).alias("found"))
-    return messages.join(found.join(lost.select("message_id").distinct(), "message_id", "left_semi"), "message_id", "left").withColumn("chat_session_id", F.coalesce("chat_session_id", "found")).drop("found").select(*messages.columns)
+    """Give every row without ``chat_session_id`` one: the known one of its component, else minus its least message id, minus one.
+
+    A component with several known conversations proves none of them: its rows
+    without one stay together under a number of their own.
+    """
+    joined = links(messages)
+    lost = messages.filter(F.col("chat_session_id").isNull() & F.col("message_id").isNotNull()).select(F.col("message_id").cast("bigint").alias("a"), F.col("message_id").cast("bigint").alias("b"))
+    # A known conversation is one node, so that its rows aren't linked one by one.
+    known = messages.filter(F.col("chat_session_id").isNotNull()).select("message_id", "chat_session_id").distinct()
+    sides = joined.join(known.select(F.col("message_id").alias("a"), F.col("chat_session_id").alias("_sa")), "a", "left").join(known.select(F.col("message_id").alias("b"), F.col("chat_session_id").alias("_sb")), "b", "left")
+    own = lost.select(_node(F.lit(None), F.col("a")).alias("a"), _node(F.lit(None), F.col("b")).alias("b"))
+    parts = cut(components(sides.select(_node(F.col("_sa"), F.col("a")).alias("a"), _node(F.col("_sb"), F.col("b")).alias("b")).unionByName(own)), "sessions").withColumns({"row": F.pmod("node", F.lit(2)) == 1, "id": F.expr("(node - pmod(node, 2)) div 2")})
+    facts = parts.groupBy("component").agg(F.min(F.when(~F.col("row"), F.col("id"))).alias("lo"), F.max(F.when(~F.col("row"), F.col("id"))).alias("hi"), F.min(F.when(F.col("row"), F.col("id"))).alias("first"))
+    found = parts.filter("row").join(facts, "component").select(F.col("id").alias("message_id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.col("first") - 1).alias("found"))
+    return messages.join(found, "message_id", "left").withColumn("chat_session_id", F.coalesce("chat_session_id", "found")).drop("found").select(*messages.columns)
 
 
 def messages_once(messages: DataFrame) -> DataFrame:

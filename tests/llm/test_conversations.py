@@ -48,6 +48,34 @@ def test_rows_without_a_session_are_linked(spark):
     assert got[4] == 9 and got[1] == got[2] < 0 and got[5] < 0 and got[5] != got[1]
 
 
+def test_ambiguous_quotes_link_nothing(spark):
+    rows = [message(1, 10, "assistant", "Yes, of course we can."), message(2, 20, "assistant", "Yes, of course we can."), message(3, None, "user", "> Yes, of course we can.\nthen do"), message(4, 30, "assistant", "First line\nsecond line"), message(5, None, "user", "> First line\n> second line\nthanks\n> no such text"), message(6, None, "user", "> ok\nfine"), message(7, 40, "assistant", "ok")]
+    got = {r["message_id"]: r["chat_session_id"] for r in identify(spark.createDataFrame(rows, CHAT)).collect()}
+    assert got[3] < 0 and got[5] == 30 and got[6] == 40
+
+
+def test_lost_sessions_of_the_tables_come_back(spark):
+    """A tenth of the session ids is taken away from rows that answer, call or quote; most come back, hardly any to a wrong session."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet("/root/testdata/sf0.01/chat_messages.parquet").dropDuplicates(["message_id"])
+    before = F.lag("content").over(W.partitionBy("chat_session_id").orderBy("created_at", "message_id"))
+    drawn = F.pmod(F.xxhash64("message_id"), F.lit(100))
+    # Only texts of one session are quoted here; what several hold must not link, as the test above shows.
+    single = table.groupBy(F.trim("content").alias("_before")).agg(F.count_distinct("chat_session_id").alias("_n")).filter("_n = 1").select("_before", F.lit(True).alias("_single"))
+    quoting = (F.col("sender_role") == "user") & F.coalesce("_single", F.lit(False)) & F.col("content").isNotNull() & F.coalesce(F.length("_before") > 0, F.lit(False))
+    rows = table.withColumn("_before", F.trim(before)).join(single, "_before", "left").withColumn("content", F.when(quoting, F.concat(F.lit("> "), F.regexp_replace("_before", r"\n", "\n> "), F.lit("\n"), F.col("content"))).otherwise(F.col("content")))
+    linked = quoting | F.col("tool_call_id").isNotNull()
+    rows = rows.withColumn("true_session", F.col("chat_session_id")).withColumn("taken", linked & (drawn < 50))
+    share = rows.agg(F.avg(F.col("taken").cast("double"))).first()[0]
+    assert 0.08 < share < 0.2
+    asked = rows.withColumn("chat_session_id", F.when(~F.col("taken"), F.col("chat_session_id"))).select(*table.columns)
+    got = identify(asked).select("message_id", F.col("chat_session_id").alias("found")).join(rows.filter("taken").select("message_id", "true_session"), "message_id")
+    facts = got.agg(F.count("*").alias("n"), F.sum((F.col("found") >= 0).cast("int")).alias("named"), F.sum((F.col("found") == F.col("true_session")).cast("int")).alias("right")).first()
+    assert facts["right"] >= 0.95 * facts["named"] and facts["right"] >= 0.95 * facts["n"]
+
+
 def test_plots(spark):
     good = [(1, 0, "A", "x"), (1, 1, "B", "y"), (1, 1, "B", "y"), (1, 2, "Environment", "*(z)*")]
     rows = [*good, (2, 0, "A", "x"), (2, 2, "B", "y"), (3, 0, "A", "x"), (3, 0, "B", "y"), (4, 0, "A", "x"), (4, 1, "Environment", "y"), (5, 0, "A", "x"), (5, 1, "B", " "), (6, 1, "A", "x"), (6, 2, "B", "y"), (7, None, "A", "x"), (7, 0, "B", "x"), (8, 0, None, "x"), (8, 1, "A", "x"), (8, 2, "B", "x")]
