@@ -6,6 +6,10 @@ are grouped under an accent-sensitive Unicode collation, which finds width
 forms, ligatures, radicals and composed accents equal.  Each class with more
 than one form gets a canonical member, joined back to the rows.
 
+Only rows whose scope and coarse values (the mapped values without marks and
+blanks, hashed) occur in more than one form are grouped; all members of a class
+with several forms are among them.
+
 The collation also finds forms equal that a reader can tell apart (case, small
 kana, raised digits).  So the members of such classes, a small part, get an
 exact form: compatibility decomposition of width and presentation forms only.
@@ -13,8 +17,9 @@ exact form: compatibility decomposition of width and presentation forms only.
 
 from __future__ import annotations
 
-import hashlib
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,6 +56,8 @@ ALIKE = [
     ("∼～˜", "~~~"),
     ("｡｢｣､･", "。「」、・"),
 ]
+#: What doesn't show at the ends of a text.
+ENDS = " \t\n\r\x0b\x0c\x85\u2028\u2029"
 #: Tags of compatibility decompositions after which a character looks the same.
 SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>"}
 
@@ -64,12 +71,6 @@ def _pairs() -> dict[str, str]:
     return out
 
 
-def mapped(text: Column) -> Column:
-    """Look-alikes and blanks mapped, invisible characters gone, ends trimmed; null stays null."""
-    pairs = _pairs()
-    return F.trim(F.translate(text, "".join(pairs) + INVISIBLE, "".join(pairs.values())))
-
-
 def exact_form(text: str) -> str:
     """One string for all texts that look the same: mapped, without width and presentation forms, composed."""
     pairs = _pairs()
@@ -79,32 +80,71 @@ def exact_form(text: str) -> str:
             continue
         c = pairs.get(c, c)
         tag = unicodedata.decomposition(c).split(" ")[0]
-        c = unicodedata.normalize("NFKC", c) if tag in SAME_LOOK else c
+        # Marks of their own, which decompose to a blank with a mark, stay.
+        plain = unicodedata.normalize("NFKC", c) if tag in SAME_LOOK else c
+        c = c if plain[:1] == " " and len(plain) > 1 else plain
         out.append("".join(pairs.get(x, x) for x in c))
-    return unicodedata.normalize("NFC", "".join(pairs.get(x, x) for x in unicodedata.normalize("NFC", "".join(out)))).strip()
+    return unicodedata.normalize("NFC", "".join(pairs.get(x, x) for x in unicodedata.normalize("NFC", "".join(out)))).strip(ENDS)
 
 
+@lru_cache(maxsize=1)
+def special_characters() -> str:
+    """All characters that aren't their own exact form within a text, and those that compose with the one before."""
+    mapped_, out = {*_pairs(), *INVISIBLE}, []
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        composes = unicodedata.category(c)[0] == "M" or 0x1161 <= code <= 0x1175 or 0x11A8 <= code <= 0x11C2
+        # A character that is neither mapped nor decomposed is its own exact form.
+        if composes or ((c in mapped_ or unicodedata.decomposition(c)) and exact_form(f"x{c}x") != f"x{c}x"):
+            out.append(c)
+    return "".join(out)
 
-class _Coarse(dict):
-    """Of each code point the base characters of its exact form, without case, marks and blanks; filled as characters come up."""
 
-    def __missing__(self, code: int) -> str:
-        base = unicodedata.normalize("NFKD", exact_form(chr(code)))
-        self[code] = "".join(x for x in base if unicodedata.category(x)[0] not in "MZ").lower()
-        return self[code]
+@lru_cache(maxsize=1)
+def _single_characters() -> dict[str, str]:
+    """The look-alikes, and all special characters whose exact form is one other character."""
+    exact = {c: exact_form(f"x{c}x")[1:-1] for c in special_characters() if unicodedata.category(c)[0] != "M"}
+    return {c: e for c, e in exact.items() if len(e) == 1 and c not in INVISIBLE} | {c: e for c, e in _pairs().items()}
 
 
-_COARSE = _Coarse()
+@lru_cache(maxsize=1)
+def _several_characters() -> dict[str, str]:
+    """All special characters whose exact form is several characters."""
+    exact = {c: exact_form(f"x{c}x")[1:-1] for c in special_characters() if unicodedata.category(c)[0] != "M"}
+    return {c: e for c, e in exact.items() if len(e) > 1}
 
 
-def coarse_form(text: str) -> str:
-    """A value that all texts of one exact form share."""
-    return "".join(text.lower().split()) if text.isascii() else text.translate(_COARSE)
+def _expanded(text: Column) -> Column:
+    """Characters that look like several others replaced by those; the ellipsis, the only frequent one, by itself."""
+    text, several = F.replace(text, F.lit("…"), F.lit("...")), _several_characters()
+    listed = F.split(F.lit("\x02".join(c + e for c, e in several.items() if c != "…")), "\x02")
+    replaced = F.aggregate(listed, text, lambda t, p: F.replace(t, F.left(p, F.lit(1)), F.substring(p, F.lit(2), F.lit(20))))
+    return F.when(F.translate(text, "".join(several), "") != text, replaced).otherwise(text)
 
 
-def _coarse_hash(*columns: pd.Series) -> pd.Series:
-    digest = hashlib.blake2b
-    return pd.Series([int.from_bytes(digest("\u0001".join(map(coarse_form, row)).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for row in zip(*columns)], dtype="int64")
+def mapped(text: Column) -> Column:
+    """Look-alikes and blanks mapped, invisible characters gone, ends trimmed; null stays null."""
+    one = _single_characters()
+    return F.btrim(F.translate(_expanded(text), "".join(one) + INVISIBLE, "".join(one.values())), F.lit(ENDS))
+
+
+@lru_cache(maxsize=1)
+def _coarse_characters() -> tuple[str, str]:
+    """Composed characters and their bases, then marks and blanks, which go; of a Hangul syllable its first letter stays."""
+    bases, gone = {}, []
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        base = unicodedata.normalize("NFD", c)[0] if unicodedata.category(c) != "Cs" else c
+        if unicodedata.category(c)[0] in "MZ" or c in ENDS or 0x1161 <= code <= 0x1175 or 0x11A8 <= code <= 0x11C2:
+            gone.append(c)
+        elif base != c:
+            bases[c] = base
+    return "".join(bases) + "".join(gone), "".join(bases.values())
+
+
+def coarse(text: Column) -> Column:
+    """A value that all texts of one exact form share."""
+    return F.translate(mapped(text), *_coarse_characters())
 
 
 def _exact(values: pd.Series) -> pd.Series:
@@ -114,7 +154,7 @@ def _exact(values: pd.Series) -> pd.Series:
 
 def visible(text: Column) -> Column:
     """Whether anything is to be seen; false for null."""
-    return F.coalesce(mapped(text).rlike(r"[^\s\p{Cc}\p{Cf}\p{Z}\x{2800}]"), F.lit(False))
+    return F.coalesce(text.rlike(r"[^\s\p{Cc}\p{Cf}\p{Z}\x{2800}" + INVISIBLE + "]"), F.lit(False))
 
 
 def suspects(rows: DataFrame, scope: str, columns: list[str]) -> DataFrame:
@@ -123,11 +163,10 @@ def suspects(rows: DataFrame, scope: str, columns: list[str]) -> DataFrame:
     Only hashes are shuffled to find them.  Rows with a null scope or a column
     that is null or shows nothing are no cases.
     """
-    shown = rows
+    shown = rows.filter(F.col(scope).isNotNull())
     for c in columns:
         shown = shown.filter(visible(F.col(c)))
-    coarse = F.pandas_udf(_coarse_hash, "bigint")
-    keyed = shown.filter(F.col(scope).isNotNull()).withColumns({"_coarse": coarse(*columns), "_form": F.xxhash64(*columns)})
+    keyed = shown.withColumns({"_coarse": F.xxhash64(*[coarse(F.col(c)) for c in columns]), "_form": F.xxhash64(*columns)})
     many = keyed.groupBy(scope, "_coarse").agg(F.min("_form").alias("lo"), F.max("_form").alias("hi")).filter("lo <> hi").select(scope, "_coarse")
     return keyed.join(many, [scope, "_coarse"], "left_semi").drop("_coarse", "_form")
 
@@ -175,7 +214,7 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 def p5_canonical(spark, sf_dir: str) -> DataFrame:
     """Every utterance with its speaker and content in canonical form."""
-    rows = table(spark, sf_dir, "utterances").select("utterance_id", "book_key", "speaker", "content").distinct()
-    forms = equal_looking(suspects(rows, "book_key", ["speaker", "content"]), "book_key", ["speaker", "content"]).select("book_key", "speaker", "content", "canonical_speaker", "canonical_content")
-    out = rows.join(forms, ["book_key", "speaker", "content"], "left")
+    rows = table(spark, sf_dir, "utterances").select("utterance_id", "book_key", "speaker", "content")
+    forms = cut(equal_looking(suspects(rows, "book_key", ["speaker", "content"]), "book_key", ["speaker", "content"]).select("book_key", "speaker", "content", "canonical_speaker", "canonical_content"), "forms")
+    out = rows.distinct().join(forms, ["book_key", "speaker", "content"], "left")
     return out.select("utterance_id", "book_key", F.coalesce("canonical_speaker", "speaker").alias("speaker"), F.coalesce("canonical_content", "content").alias("content"))

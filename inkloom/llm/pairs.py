@@ -49,6 +49,8 @@ FUNCTION_WORDS = {
     "es": "el|la|los|las|de|del|que|y|un|una|con|por|para|nos|se|ese|esa|está|estamos|al|en|si|su|pero|yo|nunca|alguien|ningún|había|como|lo|le|sin",
     "de": "der|die|das|und|ist|ich|nicht|ein|eine|einen|einer|wir|sind|mit|den|dem|bei|diese|dieser|aber|nach|von|zu|im|du|auf|keine|wenn|dich|sich|als|doch|habe|wer|oder|ohne",
 }
+# What parts words.
+SEPARATORS = "\n\r\t\u00a0\u3000.,;:!?¿¡()[]{}<>/\\|*_\"“”„«»‹›…—–―-0123456789&%#@+=~^`$、。！？：；，（）「」『』【】《》"
 _NOISE = r"[\s\p{Cf}\p{Cc}\x{00a0}\x{3000}\x{2800}\x{3164}]"
 
 
@@ -66,7 +68,9 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
     The steps are columns of their own, so that each is computed once.
     """
     col = F.col(text)
-    df = df.withColumns({"_han": F.length(F.regexp_replace(col, r"[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]+", "")), "_kana": F.length(F.regexp_replace(col, r"[^\x{3041}-\x{30ff}\x{ff66}-\x{ff9f}]+", "")), "_latin": F.length(F.regexp_replace(col, r"[^A-Za-z\x{c0}-\x{24f}]+", "")), "_words": F.array_distinct(F.split(F.lower(col), r"[^a-zà-ɏß'’]+"))})
+    # Counting characters and splitting at one blank are several times faster than replacing and splitting by patterns.
+    words = F.array_distinct(F.split(F.translate(F.lower(col), SEPARATORS, " " * len(SEPARATORS)), " "))
+    df = df.withColumns({"_han": F.regexp_count(col, F.lit(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]")), "_kana": F.regexp_count(col, F.lit(r"[\x{3041}-\x{30ff}\x{ff66}-\x{ff9f}]")), "_latin": F.regexp_count(col, F.lit(r"[A-Za-z\x{c0}-\x{24f}]")), "_words": words})
     df = df.withColumns({f"_{k}": _words_of(F.col("_words"), k) for k in FUNCTION_WORDS})
     best = F.greatest(*[F.col(f"_{k}") for k in FUNCTION_WORDS])
     latin = F.when(F.lit(False), F.lit(""))

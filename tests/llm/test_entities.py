@@ -93,19 +93,42 @@ def test_exact_form():
     assert exact_form("I") != exact_form("l") and exact_form("é") == "é"
 
 
-def test_coarse_values_are_shared():
-    from inkloom.llm.lookalike import coarse_form
+def test_texts_without_special_characters_are_their_own_exact_form():
     import unicodedata
+    from inkloom.llm.lookalike import special_characters
+
+    special = set(special_characters())
+    plain = [c for c in map(chr, [*range(0x21, 0xD800), *range(0xF900, 0x11000)]) if c not in special and unicodedata.category(c) != "Cn"]
+    rng = random.Random(3)
+    rng.shuffle(plain)
+    texts = ["x" + "".join(plain[i : i + 7]) + "x" for i in range(0, len(plain), 7)]
+    assert len(plain) > 50_000 and [t for t in texts if exact_form(t) != t] == []
+
+
+def test_the_collation_holds_exact_classes(spark):
+    """Every special character with a shape of its own meets its exact form in the SQL grouping."""
+    import unicodedata
+    from pyspark.sql import functions as F
+    from inkloom.llm.lookalike import COLLATION, mapped, special_characters
+
+    rows = [(c, f"x{c}y", exact_form(f"x{c}y")) for c in special_characters() if unicodedata.category(c)[0] != "M" and exact_form(f"x{c}y") != f"x{c}y"]
+    df = spark.createDataFrame(rows, "c string, a string, b string").withColumns({x: F.collate(mapped(F.col(x)), COLLATION) for x in "ab"})
+    apart = [r["c"] for r in df.filter("a <> b").select("c").collect()]
+    assert apart == []
+
+
+def test_coarse_values_are_shared(spark):
+    import unicodedata
+    from pyspark.sql import functions as F
+    from inkloom.llm.lookalike import coarse
 
     texts = [f"x{chr(c)}y" for c in [*range(0x20, 0xD800), *range(0xF900, 0x10000)]]
-    texts += [unicodedata.normalize(form, t) for t in texts for form in ("NFD", "NFKD")]
-    assert not [t for t in texts if coarse_form(t) != coarse_form(exact_form(t))]
+    texts += sorted({unicodedata.normalize(form, t) for t in texts for form in ("NFD", "NFKD")})
+    df = spark.createDataFrame([(t, exact_form(t)) for t in texts], "a string, b string")
+    assert [r["a"] for r in df.filter(coarse(F.col("a")) != coarse(F.col("b"))).collect()] == []
 
 
 def test_lookalikes_of_several_lines(spark):
-    from inkloom.llm.lookalike import coarse_form
-
-    assert not [c for c in map(chr, range(0x80)) if coarse_form(f"x{c}y") != coarse_form(f"x{c}yе").removesuffix("e")]
     rows = [(1, "b", "Anna", "Hello\nworld"), (2, "b", "Anna", "Hеllo\nworld"), (3, "b", "Anna", "to\tbe"), (4, "b", "Anna", "tо\tbe"), (5, "b", "Anna", "Hello\u200b\nworld")]
     got = {(r["utterance_id_a"], r["utterance_id_b"]) for r in pairs(spark.createDataFrame([(*r, "clash") for r in rows], UTTER), "utterance_id", "book_key", ["speaker", "content"]).collect()}
     assert got == {(1, 2), (1, 5), (2, 5), (3, 4)}
