@@ -3,7 +3,8 @@
 Items go to shards by hash; in a shard each item is placed into the fill level
 that minimises the sum of the squared numbers of partially filled containers,
 kept in an array by level.  What lies in containers that stay short of
-``CLOSED_AT`` is packed again over fewer shards, until one shard is left.
+``CLOSED_AT`` is packed again over fewer shards, until one shard is left or
+the shards don't get fewer.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from inkloom.session import cut, table
 SHARD_ITEMS = 20_000
 #: Share of the capacity from which a container is final.
 CLOSED_AT = 0.97
-#: Rounds over shards before all open containers are final.
-ROUNDS = 4
 
 _PACKED = "doc_id bigint, piece_index bigint, tokens bigint, container_id string, level bigint"
 
@@ -65,7 +64,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_shard(capacity: int, label: str):
-    def run(key, items: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["order_key", "doc_id", "piece_index"], kind="stable")
         box = sum_of_squares(items["tokens"].to_numpy(np.int64), capacity)
         level = np.bincount(box, weights=items["tokens"].to_numpy(float)).astype(np.int64)[box] if len(box) else box
@@ -85,16 +84,15 @@ def pack(sized: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
     items = sized.filter("n_tokens > 0").select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens")).distinct()
-    whole = F.expr(f"n_tokens div {capacity}")
     cuts = items.select("doc_id", F.explode(F.expr(f"sequence(0L, (n_tokens - 1) div {capacity})")).alias("piece_index"), "n_tokens")
     cuts = cuts.select("doc_id", "piece_index", F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("piece_index") * capacity).alias("tokens"))
     full = cuts.filter(F.col("tokens") == capacity).select("doc_id", "piece_index", "tokens", F.concat(F.lit("full-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_index").cast("string")).alias("container_id"))
-    del whole
     open_items = cuts.filter(F.col("tokens") < capacity)
     parts = [full]
-    for turn in range(ROUNDS):
+    turn, before = 0, math.inf
+    while True:
         shards = max(1, math.ceil(open_items.count() / shard_items))
-        last = shards == 1 or turn == ROUNDS - 1
+        last = shards == 1 or shards >= before
         keyed = open_items.withColumn("order_key", F.xxhash64("doc_id", "piece_index", F.lit(turn))).withColumn("shard", F.pmod("order_key", F.lit(shards)))
         packed = keyed.groupBy("shard").applyInPandas(_pack_shard(capacity, f"r{turn}"), _PACKED)
         if last:
@@ -104,6 +102,7 @@ def pack(sized: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
         closed = F.col("level") >= int(CLOSED_AT * capacity)
         parts.append(packed.filter(closed).drop("level"))
         open_items = packed.filter(~closed).select("doc_id", "piece_index", "tokens")
+        turn, before = turn + 1, shards
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -11,8 +11,8 @@ are cut into all spans of exactly the threshold, so that only texts which share
 such a span meet; a span is followed only where the set of texts that hold it
 differs from the set of the span one code point before.
 
-Equal texts are one text until the end.  Spans are compared by 64-bit hashes in
-the hot way, code point by code point in the other.
+Equal texts are one text until the end.  Spans are compared by two independent
+64-bit hashes in the hot way, code point by code point in the other.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from pyspark.sql import Window as W
 from inkloom.llm.bpe import chunks
 from inkloom.session import cut, table
 
-#: Code points in an anchor, at the default threshold of 150; half the threshold in general.
 #: Occurrences beyond which an anchor takes the hot way.
 HOT = 64
+#: What sets the second hash of a span apart from the first.
+CHECK_SEED = 0x5851F42D
 _U = np.uint64
 _MULTIPLY, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
@@ -38,9 +39,9 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def gram_hashes(cp: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(cp: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each run of k code points, by doubling."""
-    level, size = _scramble((cp.astype(_U) + _U(1)) * _MULTIPLY), 1
+    level, size = _scramble((cp.astype(_U) + _U(seed)) * _MULTIPLY), 1
     out, done, n = None, 0, len(cp) - k + 1
     rest = k
     while True:
@@ -165,18 +166,20 @@ def _windows(k: int, threshold: int):
     def run(batches):
         for batch in batches:
             docs, pos, at = (batch.column(i).to_numpy() for i in (0, 1, 2))
-            hashes, which, starts = [], [], []
+            hashes, checks, which, starts = [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 if len(text) >= threshold:
-                    h = gram_hashes(_codes(text), threshold)
+                    cp = _codes(text)
+                    h, other = gram_hashes(cp, threshold), gram_hashes(cp, threshold, CHECK_SEED)
                     # Only spans that hold the whole anchor.
                     low, high = max(0, int(at[i]) + k - threshold), min(len(h) - 1, int(at[i]))
                     hashes.append(h[low : high + 1])
+                    checks.append(other[low : high + 1])
                     which.append(np.full(high + 1 - low, i, np.int64))
                     starts.append(np.arange(low, high + 1) + int(pos[i]) - int(at[i]))
             if hashes:
                 w = np.concatenate(which)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(docs[w]), pa.array(np.concatenate(starts).astype(np.int64))], ["span", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(checks).view(np.int64)), pa.array(docs[w]), pa.array(np.concatenate(starts).astype(np.int64))], ["span", "check", "doc_id", "start"])
 
     return run
 
@@ -216,9 +219,9 @@ class SharedSpans:
 
     def _hot_spans(self, near: DataFrame) -> DataFrame:
         """``span, doc_id, start`` of the spans that two or more texts hold, and whether the set of their texts is new."""
-        spans = near.select("doc_id", "pos", "at", "near").mapInArrow(_windows(self.k, self.threshold), "span bigint, doc_id bigint, start bigint").distinct()
-        sets = spans.select("span", "doc_id").distinct().groupBy("span").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")).filter("n > 1")
-        marked = spans.join(sets, "span")
+        spans = near.select("doc_id", "pos", "at", "near").mapInArrow(_windows(self.k, self.threshold), "span bigint, check bigint, doc_id bigint, start bigint").distinct()
+        sets = spans.select("span", "check", "doc_id").distinct().groupBy("span", "check").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")).filter("n > 1")
+        marked = spans.join(sets, ["span", "check"])
         order = W.partitionBy("doc_id").orderBy("start")
         before = F.struct(F.lag("start").over(order).alias("s"), F.lag("n").over(order).alias("n"), F.lag("mark").over(order).alias("m"))
         return marked.withColumn("before", before).withColumn("new", ~F.coalesce((F.col("before.s") == F.col("start") - 1) & (F.col("before.n") == F.col("n")) & (F.col("before.m") == F.col("mark")), F.lit(False))).drop("before", "n", "mark")
@@ -227,10 +230,10 @@ class SharedSpans:
         """``doc_id_a, doc_id_b``, a < b, each pair once."""
         direct = self.runs.filter("first").select("doc_id_a", "doc_id_b")
         # Where the set of texts is new in any of them, the span is followed in all.
-        news = self.spans.filter("new").select("span").distinct()
-        held = self.spans.select("span", "doc_id").distinct().join(news, "span", "left_semi")
+        news = self.spans.filter("new").select("span", "check").distinct()
+        held = self.spans.select("span", "check", "doc_id").distinct().join(news, ["span", "check"], "left_semi")
         x, y = held.alias("x"), held.alias("y")
-        hot = x.join(y, (F.col("x.span") == F.col("y.span")) & (F.col("x.doc_id") < F.col("y.doc_id"))).selectExpr("x.doc_id doc_id_a", "y.doc_id doc_id_b")
+        hot = x.join(y, (F.col("x.span") == F.col("y.span")) & (F.col("x.check") == F.col("y.check")) & (F.col("x.doc_id") < F.col("y.doc_id"))).selectExpr("x.doc_id doc_id_a", "y.doc_id doc_id_b")
         reps = direct.unionByName(hot).distinct()
         m = self.members
         wide = reps.join(m.selectExpr("rep doc_id_a", "doc_id a"), "doc_id_a", "left").join(m.selectExpr("rep doc_id_b", "doc_id b"), "doc_id_b", "left")

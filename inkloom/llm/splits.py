@@ -8,7 +8,8 @@ needs it most.
 Groups of at least a ``1 / BIG_PARTS`` part of all records, so at most
 ``BIG_PARTS`` of them, are placed one after the other on the driver.  The small
 ones are placed in shards by hash, each towards the rest of the targets in
-proportion to what the shard holds.
+proportion to what the shard holds.  All labels count; of each label one total
+per split is held on the driver and in each task.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.operators.components import components
+from inkloom.operators.ranking import global_row_number
 from inkloom.session import cut, table
 
 BIG_PARTS = 1000
-SHARD_GROUPS = 20_000
-#: Labels in use, at most: those of the most records.
-MOST_LABELS = 64
+#: Groups, and groups times labels, in one shard, about; a shard is one task's work.
+SHARD_GROUPS, SHARD_CELLS = 20_000, 20_000_000
+#: Scenes are numbered below all names, so that the least node of a group is its least scene.
+_BELOW = 1 << 62
 
 
 def groups(records: DataFrame, key: str, scope: list[str], name: str, nobody: list[str]) -> DataFrame:
@@ -38,18 +41,21 @@ def groups(records: DataFrame, key: str, scope: list[str], name: str, nobody: li
     repeated record gives one row.
     """
     named = F.when(~F.col(name).isin(nobody), F.col(name))
-    scene = F.struct(*scope)
     known = F.lit(True)
     for c in scope:
         known = known & F.col(c).isNotNull()
-    rows = records.select(key, F.when(known, F.to_json(scene)).alias("_scene_text"), *scope, named.alias("_name")).distinct()
-    tie = rows.filter(F.col("_scene_text").isNotNull() | F.col("_name").isNotNull()).select(F.concat(F.lit("s"), "_scene_text").alias("a"), F.concat(F.lit("n"), "_name").alias("b")).distinct()
-    parts = cut(components(tie), "groups")
-    mine = F.coalesce(F.concat(F.lit("s"), "_scene_text"), F.concat(F.lit("n"), "_name"))
-    placed = rows.withColumn("node", mine).join(parts, "node", "left")
-    first = placed.filter(F.col("_scene_text").isNotNull()).groupBy("component").agg(F.min(scene).alias("_first"))
-    out = placed.join(first, "component", "left")
-    return out.select(key, *[F.col(f"_first.{c}").alias(f"group_{c}") for c in scope], F.coalesce("component", F.concat(F.lit("r"), F.col(key).cast("string"))).alias("group_id")).distinct()
+    rows = records.select(key, *scope, named.alias("_name")).distinct()
+    # Nodes are numbers: scenes in their order, then names.
+    scenes = cut(global_row_number(rows.filter(known).select(*scope).distinct(), scope, "_n").select(*scope, (F.col("_n") - F.lit(_BELOW)).alias("_scene")), "scenes")
+    people = cut(global_row_number(rows.filter(F.col("_name").isNotNull()).select("_name").distinct(), ["_name"], "_person"), "people")
+    placed = cut(rows.join(scenes, scope, "left").join(people, "_name", "left").select(key, "_scene", "_person"), "placed")
+    tie = placed.filter(F.col("_scene").isNotNull() | F.col("_person").isNotNull()).select(F.col("_scene").alias("a"), F.col("_person").alias("b")).distinct()
+    parts = components(tie)
+    grouped = placed.withColumn("node", F.coalesce("_scene", "_person")).join(parts, "node", "left")
+    first = scenes.select(F.col("_scene").alias("component"), *[F.col(c).alias(f"group_{c}") for c in scope])
+    out = grouped.join(first, "component", "left")
+    group_id = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("r"), F.col(key).cast("string")))
+    return out.select(key, *[f"group_{c}" for c in scope], group_id.alias("group_id")).distinct()
 
 
 def stratify(vectors: np.ndarray, sizes: np.ndarray, need: np.ndarray, need_size: np.ndarray) -> np.ndarray:
@@ -108,27 +114,39 @@ def assign(grouped: DataFrame, labelled: DataFrame, key: str, targets: dict[str,
     total_share = sum(targets.values())
     names = sorted(targets, key=lambda s: (-targets[s], s))
     share = np.array([targets[n] / total_share for n in names])
-    top = [r["label"] for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()]  # at most MOST_LABELS rows
     rows = grouped.select(key, "group_id")
-    counted = rows.join(labelled, key, "left").groupBy("group_id").agg(F.count_distinct(key).cast("double").alias("n"), *[F.count(F.when(F.col("label") == F.lit(x), 1)).cast("double").alias(f"l{i}") for i, x in enumerate(top)])
-    sized = cut(counted, "sized")
-    columns = ["n", *[f"l{i}" for i in range(len(top))]]
-    sums = sized.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns], F.count("*").alias("groups")).first()
-    totals = np.array([sums[c] for c in columns])
-    least_big = max(1.0, totals[0] / BIG_PARTS)
+    held = rows.groupBy("group_id").agg(F.count_distinct(key).cast("double").alias("n"))
+    counts = rows.join(labelled, key).groupBy("group_id", "label").agg(F.count("*").cast("double").alias("c"))
+    listed = counts.filter("label is not null").groupBy("group_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "c")))).alias("labels"))
+    sized = cut(held.join(listed, "group_id", "left"), "sized")
+    sums = sized.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.count("*").alias("groups")).first()
+    totals = {r["label"]: r["c"] for r in counts.filter("label is not null").groupBy("label").agg(F.sum("c").alias("c")).collect()}  # one row per label
+    least_big = max(1.0, sums["n"] / BIG_PARTS)
     big = sized.filter(F.col("n") >= least_big).orderBy("group_id").toPandas()  # at most BIG_PARTS rows
-    need = share[:, None] * totals[None, :]
-    vectors, sizes, rest, labels = big[columns[1:]].to_numpy(float), big["n"].to_numpy(float), need[:, 0].copy(), need[:, 1:].copy()
-    placed = settle(stratify(vectors, sizes, labels, rest), vectors, sizes, labels, rest)
-    need = np.concatenate([rest[:, None], labels], 1)
-    need = np.maximum(need, 0)
-    fraction = np.where(need.sum(0) > 0, need / np.maximum(need.sum(0), 1e-9), share[:, None])
-    shards = max(1, math.ceil(sums["groups"] / SHARD_GROUPS))
+    labels = sorted(totals)
+
+    def matrix(maps, known: list[str]) -> np.ndarray:
+        at = {x: i for i, x in enumerate(known)}
+        out = np.zeros((len(maps), len(known)))
+        for row, m in enumerate(maps):
+            for x, c in dict(m or {}).items():
+                out[row, at[x]] = c
+        return out
+
+    vectors, sizes = matrix(list(big["labels"]), labels), big["n"].to_numpy(float)
+    rest, need = share * sums["n"], share[:, None] * np.array([totals[x] for x in labels])[None, :]
+    placed = settle(stratify(vectors, sizes, need, rest), vectors, sizes, need, rest)
+    need, rest = np.maximum(need, 0), np.maximum(rest, 0)
+    of_label = {x: need[:, i] / need[:, i].sum() if need[:, i].sum() > 0 else share for i, x in enumerate(labels)}
+    of_size = rest / rest.sum() if rest.sum() > 0 else share
+    shards = max(1, math.ceil(sums["groups"] / SHARD_GROUPS), math.ceil(sums["groups"] * len(labels) / SHARD_CELLS))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_id")
-        own = fraction * pdf[columns].to_numpy(float).sum(0)[None, :]
-        got = stratify(pdf[columns[1:]].to_numpy(float), pdf["n"].to_numpy(float), own[:, 1:], own[:, 0].copy())
+        known = sorted({x for m in pdf["labels"] for x in dict(m or {})})
+        v, n = matrix(list(pdf["labels"]), known), pdf["n"].to_numpy(float)
+        own = np.stack([of_label[x] for x in known], 1) * v.sum(0)[None, :] if known else np.zeros((len(share), 0))
+        got = stratify(v, n, own, of_size * n.sum())
         return pd.DataFrame({"group_id": pdf["group_id"].to_numpy(), "split_label": [names[i] for i in got]})
 
     small = sized.filter(F.col("n") < least_big).withColumn("shard", F.pmod(F.xxhash64("group_id"), F.lit(shards)))

@@ -9,7 +9,7 @@ for weaker ones further on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.session import table
@@ -53,18 +53,24 @@ def split_oversized(items: DataFrame, limit: int, overlap: int) -> DataFrame:
         raise ValueError("the overlap must be at least 0 and less than the limit")
     long = items.filter(F.length("text") > limit).select("item_kind", "item_id", "text")
     bodies = long.withColumn("bodies", F.regexp_extract_all("text", F.lit(piece_pattern(limit - overlap)), F.lit(0)))
-    # The end of each body is a running sum of lengths; an offset looks back over the overlap.
-    ends = F.aggregate(
-        "bodies",
-        F.array().cast("array<int>"),
-        lambda acc, b: F.concat(acc, F.array(F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1)), F.lit(0)) + F.length(b))),
-    )
-    return bodies.withColumn("ends", ends)
+    return bodies.withColumn("ends", running_sums(F.transform("bodies", F.length)))
+
+
+def running_sums(sizes: Column, block: int = 256) -> Column:
+    """The running sums of an array of numbers, by blocks, so that the work doesn't grow with the square of its length."""
+    none = F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(block)), lambda at: F.slice(sizes, at + 1, F.lit(block)))
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+    inside = F.transform(blocks, lambda b: F.aggregate(b, none, add))
+    before = F.aggregate(F.transform(inside, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0))), none, add)
+    return F.flatten(F.zip_with(inside, before, lambda b, end: F.transform(b, lambda x: x + end - F.try_element_at(b, F.lit(-1)))))
 
 
 def pieces(items: DataFrame, limit: int, overlap: int) -> DataFrame:
     """The pieces of all oversized items, one row each; see ``split_oversized``."""
-    found = split_oversized(items, limit, overlap).dropDuplicates(["item_kind", "item_id", "text"])
+    # Repeats go before the texts are cut.
+    once = items.filter(F.length("text") > limit).dropDuplicates(["item_kind", "item_id", "text"])
+    found = split_oversized(once, limit, overlap)
     each = found.select("item_kind", "item_id", "text", "ends", F.posexplode("bodies").alias("piece_index", "body"))
     end = F.element_at("ends", F.col("piece_index") + 1)
     start = F.greatest(F.lit(0), end - F.length("body") - F.lit(overlap))
