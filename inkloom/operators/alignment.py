@@ -6,10 +6,13 @@ chunk, a record) is one task's work and groups run in parallel.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.similarity import best_window, normalize_with_positions, ratio
@@ -41,14 +44,14 @@ def align_lines(text: str, lines: Sequence[tuple[str, str]], least: float = 90.0
 
 
 def _by_text(lines: DataFrame, sources: DataFrame, keys: Sequence[str], order: Sequence[str], line_id: str) -> DataFrame:
-    """One row per source with its lines in order, so that a text travels once."""
+    """One row per source with its lines in order, so that a text travels once; lines without a source have a null text."""
     item = F.struct(*order, F.col(line_id).alias("_id"), F.col("speaker").alias("_speaker"), F.col("content").alias("_content"))
     gathered = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_lines"))
-    return gathered.join(sources, list(keys)).select("_lines", F.col("text").alias("_text"))
+    return gathered.join(sources, list(keys), "left").select("_lines", F.col("text").alias("_text"))
 
 
 def forward_align(lines: DataFrame, sources: DataFrame, keys: Sequence[str], order: Sequence[str], line_id: str, least: float = 90.0) -> DataFrame:
-    """``line_id, span_start, span_end`` of every line whose source is known; nulls where it isn't found."""
+    """``line_id, span_start, span_end`` of every line; nulls where it isn't found."""
 
     def run(frames):
         for frame in frames:
@@ -76,15 +79,21 @@ def place_units(text: str, units: Sequence[tuple[str, str]], strong: int = 4) ->
             if at >= 0:
                 found[i], cursor = at, at + len(f)
     issues: list[str | None] = [None] * len(units)
+    # The nearest place behind each unit; those of the first pass only grow.
+    after, ahead = [len(norm)] * len(units), len(norm)
+    for i in range(len(units) - 1, -1, -1):
+        after[i] = ahead
+        ahead = found[i] if found[i] is not None else ahead
+    low = 0
     for i, f in enumerate(forms):
         if found[i] is not None:
+            low = max(low, found[i] + len(f))
             continue
-        low = max((found[j] + len(forms[j]) for j in range(i) if found[j] is not None), default=0)
-        high = min((found[j] for j in range(i + 1, len(units)) if found[j] is not None), default=len(norm))
+        high = after[i]
         if f:
             at = norm.find(f, low, high)
             if at >= 0:
-                found[i] = at
+                found[i], low = at, at + len(f)
             else:
                 issues[i] = "not found"
         else:
@@ -109,53 +118,128 @@ def bounded_align(lines: DataFrame, sources: DataFrame, keys: Sequence[str], ord
     return _by_text(lines, sources, keys, order, line_id).mapInPandas(run, f"{line_id} bigint, position bigint, issue string")
 
 
-def widen_to_sentence(text: str, start: int, end: int, marks: str = "。！？!?.\n", closers: str = "”’\"」』)） ") -> tuple[int, int]:
-    """Widen a span to the sentence marks around it; a closing mark stays in, a line end doesn't."""
-    while start > 0 and text[start - 1] not in marks:
-        start -= 1
-    while start < end and text[start] in closers + "\n":
-        start += 1
-    while end < len(text) and text[end - 1] not in marks:
-        end += 1
-    while end < len(text) and text[end] in closers and text[end] != " ":
-        end += 1
-    while end > start and text[end - 1] == "\n":
-        end -= 1
+# Where a located line may begin and end.
+CLAUSE_MARKS = "\n。！？!?，,；;：:.…「」"
+_CLAUSE = re.compile(f"[{CLAUSE_MARKS}]")
+
+
+def widen_to_marks(text: str, start: int, end: int, floor: int = 0) -> tuple[int, int]:
+    """Widen a span of at least one character to the marks around it, never left of ``floor``.
+
+    A side that already is a mark stays.  The mark behind the span is taken
+    in unless it is a line end.
+    """
+    if text[start] not in CLAUSE_MARKS:
+        start = max(floor, *(text.rfind(mark, floor, start) + 1 for mark in CLAUSE_MARKS))
+    if text[end - 1] not in CLAUSE_MARKS:
+        mark = _CLAUSE.search(text, end)
+        end = len(text) if mark is None else mark.start() + (mark.group() != "\n")
     return start, end
 
 
+def locate_line(text: str, content: str, cursor: int, least: float = 80.0) -> tuple[float, int, int] | None:
+    """Score and widened span of a line at or after the cursor: the exact place, else the window most like it; null below ``least``.
+
+    Of a line that is written as narration the inside is looked for.
+    """
+    sought = content[2:-2] if content.startswith("*(") and content.endswith(")*") else content
+    if not sought or cursor >= len(text):
+        return None
+    at = text.find(sought, cursor)
+    if at >= 0:
+        return (100.0, *widen_to_marks(text, at, at + len(sought), cursor))
+    near = best_window(sought, text[cursor:], least)
+    if near is None or near[1] >= near[2]:
+        return None
+    return (near[0], *widen_to_marks(text, cursor + near[1], cursor + near[2], cursor))
+
+
+def locate_lines(text: str, lines: Sequence[tuple[str | None, str | None]], least: float = 80.0) -> list[tuple[float, int, int] | None]:
+    """``locate_line`` of each (speaker, content), each after the one found before; the narrator's lines and those not found have no place and leave the cursor."""
+    out, cursor = [], 0
+    for speaker, content in lines:
+        hit = locate_line(text, content, cursor, least) if content and speaker != NARRATOR else None
+        cursor = hit[2] if hit else cursor
+        out.append(hit)
+    return out
+
+
 def expanding_locate(lines: DataFrame, sources: DataFrame, keys: Sequence[str], order: Sequence[str], line_id: str, least: float = 80.0) -> DataFrame:
-    """``line_id, exact, source``: the sentences in which each line lies, from an exact place or else one by likeness."""
+    """``line_id, exact, span_start, span_end, source``: the clauses of the text in which each line lies; nulls where it isn't found."""
 
     def run(frames):
         for frame in frames:
             out = []
             for items, text in zip(frame["_lines"], frame["_text"]):
-                cursor, text = 0, text or ""
-                for x in items:
-                    content, span, exact = x["_content"] or "", None, False
-                    if content and x["_speaker"] != NARRATOR:
-                        at = text.find(content, cursor)
-                        if at < 0:
-                            at = text.find(content)
-                        exact = at >= 0
-                        hit = (0, at, at + len(content)) if exact else best_window(content, text[cursor:], least) if len(content) >= 6 else None
-                        if hit:
-                            shift = 0 if exact else cursor
-                            span = (hit[1] + shift, hit[2] + shift)
-                            cursor = max(cursor, span[1])
-                    source = text[slice(*widen_to_sentence(text, *span))] if span else None
-                    out.append((x["_id"], exact, source))
-            yield pd.DataFrame(out, columns=[line_id, "exact", "source"])
-
-    return _by_text(lines, sources, keys, order, line_id).mapInPandas(run, f"{line_id} bigint, exact boolean, source string")
+                text = text or ""
+                found = locate_lines(text, [(x["_speaker"], x["_content"]) for x in items], least)
+                out += [(x["_id"], hit[0] >= 100.0, hit[1], hit[2], text[hit[1] : hit[2]]) if hit else (x["_id"], None, None, None, None) for x, hit in zip(items, found)]
+            yield pd.DataFrame(out, columns=[line_id, "exact", "span_start", "span_end", "source"]).astype({"exact": "boolean", "span_start": "Int64", "span_end": "Int64"})
+
+    return _by_text(lines, sources, keys, order, line_id).mapInPandas(run, f"{line_id} bigint, exact boolean, span_start bigint, span_end bigint, source string")
+
+
+def ordered_score(anchors: Sequence[tuple[str, bool]], text: str) -> tuple[int, float, int]:
+    """Score, coverage and number of the (anchor, of the target) found one after the other in ``text``.
+
+    The score is the found anchors' length and ten for each of the target's;
+    the coverage is the share of all anchors' length.
+    """
+    cursor, length, bonus, found = 0, 0, 0, 0
+    for anchor, target in anchors:
+        at = text.find(anchor, cursor)
+        if at >= 0:
+            cursor, length, bonus, found = at + len(anchor), length + len(anchor), bonus + 10 * target, found + 1
+    total = sum(len(a) for a, _ in anchors)
+    return length + bonus, length / total if total else 0.0, found
+
+
+#: Code points of an anchor's beginning by which scenes are looked up: the longest that fits.
+SEEDS = (4, 8)
+
+
+def score_scenes(anchors: DataFrame, scenes: DataFrame, scope: Sequence[str], record: str, order: Sequence[str], scene: str, least_anchors: int = 2) -> DataFrame:
+    """``scope, record, scene, score, coverage, anchors`` of the scenes that may hold at least so many of a record's anchors.
+
+    ``anchors`` has ``anchor`` (at least four code points) and ``target``,
+    ``scenes`` has ``text``, both in normal form.  Scenes are looked up by the
+    anchors' beginnings, so a record meets only scenes that may hold some of
+    its anchors, not all of its scope.
+    """
+    size = F.when(F.length("anchor") >= SEEDS[1], SEEDS[1]).otherwise(SEEDS[0])
+    seeds = anchors.groupBy(*scope, record, F.substring(F.col("anchor"), F.lit(1), size).alias("_seed")).agg(F.count("*").alias("_times"))
+    wanted = seeds.select(*scope, "_seed").distinct()
+
+    def grams(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - k + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(k)))
+
+    held = scenes.select(*scope, scene, F.explode(F.array_distinct(F.concat(*map(grams, SEEDS)))).alias("_seed")).join(wanted, [*scope, "_seed"], "left_semi").distinct()
+    met = seeds.join(held, [*scope, "_seed"]).groupBy(*scope, record, scene).agg(F.sum("_times").alias("_n")).filter(F.col("_n") >= least_anchors).drop("_n")
+    item = F.struct(*order, F.col("anchor").alias("_anchor"), F.col("target").alias("_target"))
+    listed = anchors.groupBy(*scope, record).agg(F.array_sort(F.collect_list(item)).alias("_listed"))
+    asked = met.join(listed, [*scope, record]).join(scenes.select(*scope, scene, F.col("text").alias("_text")), [*scope, scene])
+
+    def run(frames):
+        for frame in frames:
+            scores = [ordered_score([(x["_anchor"], bool(x["_target"])) for x in items], text or "") for items, text in zip(frame["_listed"], frame["_text"])]
+            out = frame[[*scope, record, scene]].copy()
+            for i, name in enumerate(("score", "coverage", "anchors")):
+                out[name] = [x[i] for x in scores]
+            yield out
+
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    return asked.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*scope, record, scene]) + ", score bigint, coverage double, anchors bigint")
 
 
 def match_turns(left: Sequence[tuple[str, str]], right: Sequence[tuple[str, Sequence[str]]]) -> list[int | None]:
     """For each (normal text, name) on the left the next of (normal text, names) on the right with the same text and a fitting name."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, (text, _) in enumerate(right):
+        places[text].append(j)
     cursor, out = 0, []
     for text, name in left:
-        hit = next((j for j in range(cursor, len(right)) if right[j][0] == text and (name in right[j][1] or not name)), None)
+        same = places.get(text, [])
+        hit = next((j for j in same[bisect_left(same, cursor) :] if name in right[j][1] or not name), None)
         if hit is not None:
             cursor = hit + 1
         out.append(hit)

@@ -58,6 +58,32 @@ def balanced(df: DataFrame, groups: Sequence[str], key: str, most: int, seed: in
     return hashed.withColumn("_rn", F.row_number().over(W.partitionBy(*groups).orderBy("_h", key))).filter(F.col("_rn") <= most).drop("_rn")
 
 
+def equal_deletions(df: DataFrame, source: str, order: Sequence[str], key: str, shrunk: Sequence[str], target: int, seed: int) -> DataFrame:
+    """``target`` rows, from two sources of which rows are left out in equal numbers (the second gives up the odd one); with ``place`` in the order of all rows.
+
+    The rows left out are drawn by a seeded hash.  A target that can't be
+    reached this way raises: more rows than there are, a source without rows,
+    only one row to leave out, or all of a source.
+    """
+    first, second = shrunk
+    if target < 1:
+        raise ValueError("the target must be at least 1")
+    counts = df.agg(F.count("*").alias("all"), F.count_if(F.col(source) == first).alias("a"), F.count_if(F.col(source) == second).alias("b")).first()
+    surplus = counts["all"] - target
+    if surplus < 0:
+        raise ValueError(f"only {counts['all']} rows for {target}")
+    gone = {first: surplus // 2, second: surplus - surplus // 2}
+    if surplus and not all(0 < gone[s] < counts[c] for s, c in ((first, "a"), (second, "b"))):
+        raise ValueError(f"{surplus} rows can't be left out of {counts['a']} and {counts['b']} in equal parts")
+    least = F.lit(0)
+    for name, n in gone.items():
+        least = F.when(F.col(source) == name, F.lit(n)).otherwise(least)
+    drawn = F.row_number().over(W.partitionBy(source).orderBy(seeded(key, seed), key))
+    special = df.filter(F.col(source).isin(first, second)).withColumn("_drawn", drawn).filter(F.col("_drawn") > least).drop("_drawn")
+    rest = df.filter(~F.coalesce(F.col(source).isin(first, second), F.lit(False)))
+    return global_row_number(rest.unionByName(special), order, "place")
+
+
 def newest_page(df: DataFrame, groups: Sequence[str], key: str, size: int) -> DataFrame:
     """The newest rows of each group, oldest first, with ``place``, ``has_more`` and ``next_before``, the id before which the next page lies."""
     w = W.partitionBy(*groups)

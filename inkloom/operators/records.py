@@ -78,10 +78,18 @@ def unique_refs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], refs
     return rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.filter(F.transform(ordered, lambda x: x["_r"]), lambda r: r.isNotNull()))).alias(refs))
 
 
+def overlap(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys, each once, that both sides hold."""
+    return new.select(*keys).distinct().join(old.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def keyed_union(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old rows, and new rows whose key is new; ``side`` says which."""
-    fresh = new.join(old.select(*keys).distinct(), list(keys), "left_anti")
-    return old.withColumn("side", F.lit("old")).unionByName(fresh.select(*old.columns).withColumn("side", F.lit("new")))
+    """Both sides, with ``side``; a key that both hold raises when the rows are read, so that none is lost unseen."""
+    shared = old.select(*keys).distinct().withColumn("_shared", F.lit(True))
+    key = F.to_json(F.struct(*keys))
+    side = F.when(F.col("_shared"), F.raise_error(F.concat(F.lit("the key is on both sides: "), key))).otherwise(F.lit("new"))
+    fresh = new.select(*old.columns).join(shared, list(keys), "left").withColumn("side", side).select(*old.columns, "side")
+    return old.withColumn("side", F.lit("old")).unionByName(fresh)
 
 
 def budget_groups(rows: DataFrame, keys: Sequence[str], order: str, size: Column, budget: int) -> DataFrame:

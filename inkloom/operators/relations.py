@@ -16,9 +16,9 @@ def strict_zip(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return a.join(b, list(keys), "full_outer").withColumn("side", side).drop("_l", "_r")
 
 
-def canonical(df: DataFrame, aliases: DataFrame, keys: Sequence[str], column: str, alias: str, name: str) -> DataFrame:
-    """Replace aliases by canonical names; an alias of several names takes the last, an unknown one stays."""
-    last = aliases.groupBy(*keys, alias).agg(F.max(name).alias("_name"))
+def canonical(df: DataFrame, aliases: DataFrame, keys: Sequence[str], column: str, alias: str, name: str, order: Sequence[str] = ()) -> DataFrame:
+    """Replace aliases by canonical names; an alias of several names takes the last by ``order``, then by name, an unknown one stays."""
+    last = aliases.groupBy(*keys, alias).agg(F.max_by(name, F.struct(*order, name)).alias("_name"))
     return df.join(last.withColumnRenamed(alias, column), [*keys, column], "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
 
 
@@ -72,6 +72,14 @@ def best_match(scored: DataFrame, keys: Sequence[str], candidate: str, score: st
     return top.filter((F.col(score) >= least) & (F.col("_next").isNull() | (F.col(score) - F.col("_next") > margin))).drop("_rn", "_next")
 
 
+def chosen(scored: DataFrame, keys: Sequence[str], candidate: str, least: int = 20, least_anchors: int = 2, least_coverage: float = 0.45, margin: int = 5) -> DataFrame:
+    """Of each key the candidate with the best ``score``, then ``coverage``, if it has enough of both and of ``anchors`` and the next lies more than ``margin`` behind."""
+    w = W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("coverage"), candidate)
+    top = scored.withColumns({"_rn": F.row_number().over(w), "_next": F.lead("score").over(w)}).filter("_rn = 1")
+    enough = (F.col("score") >= least) & (F.col("anchors") >= least_anchors) & (F.col("coverage") >= least_coverage)
+    return top.filter(enough & (F.col("_next").isNull() | (F.col("score") - F.col("_next") > margin))).drop("_rn", "_next")
+
+
 def checked(df: DataFrame, **rules: Column) -> DataFrame:
     """Add ``broken``: the names of the rules that don't hold, in order; a rule that is null doesn't."""
     return df.withColumn("broken", F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])))

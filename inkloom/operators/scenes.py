@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 class BoundaryError(ValueError):
@@ -64,69 +65,121 @@ def rebuild(chunks: Sequence[tuple[int, str, str]], boundaries: Sequence[Sequenc
     return done
 
 
-def recover(chunks: Sequence[tuple[int, str, str]], boundaries: Sequence[Sequence[tuple[str | None, str | None]]], truncated: Sequence[bool]) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, str]]]:
-    """Like ``rebuild``, but repairs what it can and says so.
+Mark = tuple[str | None, str | None]
 
-    A mark that isn't found is taken as missing; a finished chunk that leaves a
-    scene open is closed at its end; a scene that begins nowhere extends the one
-    before; a section that changes under an open scene is only noted; a
-    finished chunk without marks is passed over.
+
+def mend(marks: Sequence[Sequence[Mark]], truncated: Sequence[bool]) -> tuple[list[list[Mark]], list[bool], list[tuple[int, str]]]:
+    """Marks and states with contradictions mended, and notes of (chunk, what).
+
+    The state says whether a chunk's last scene goes on: a truncated chunk's
+    last end doesn't count; a finished chunk without a last end stays open.  A
+    scene without a start that follows a closed one in its chunk extends that
+    one; at the head of a chunk it opens the last scene before again.
     """
-    done: list[list[tuple[int, int, int]]] = []
     notes: list[tuple[int, str]] = []
-    pieces: list[tuple[int, int, int]] | None = None
-    held = None
-    for (position, text, section), marks, cut in zip(chunks, boundaries, truncated):
-        if pieces is not None and held != section:
-            notes.append((position, "section changed"))
-            held = section
-        cursor, rest = 0, list(marks)
-        if not rest:
-            if pieces is not None:
-                pieces.append((position, 0, len(text)))
-            elif cut:
-                notes.append((position, "cut without marks"))
+    mended: list[list[Mark]] = []
+    states = list(truncated)
+    for i, given in enumerate(marks):
+        own: list[Mark] = []
+        for k, (start, end) in enumerate(given):
+            if k + 1 == len(given):
+                if states[i] and end is not None:
+                    notes.append((i, "the end of a truncated chunk doesn't count"))
+                    end = None
+                elif not states[i] and end is None:
+                    notes.append((i, "finished, but the last scene stays open"))
+            if own and start is None and own[-1][1] is not None:
+                notes.append((i, "joined to the scene before"))
+                own[-1] = (own[-1][0], end)
             else:
-                notes.append((position, "no marks"))
-            if pieces is not None and not cut:
-                done.append(pieces)
-                pieces = None
-            continue
+                own.append((start, end))
+        mended.append(own)
+    last = None
+    for i, own in enumerate(mended):
+        if own and own[0][0] is None and last is not None and mended[last][-1][1] is not None:
+            notes.append((i, "the last scene before goes on"))
+            mended[last][-1] = (mended[last][-1][0], None)
+            states[last] = True
+        last = i if own else last
+    return mended, states, notes
+
+
+def recover(chunks: Sequence[tuple[int, str, str]], boundaries: Sequence[Sequence[Mark]], truncated: Sequence[bool], incomplete: bool = False) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, str]]]:
+    """Like ``rebuild``, from ``mend``ed marks; also notes of (position, what).
+
+    An open scene takes whole chunks without marks and goes on over sections;
+    the next mark closes it, whatever its start.  Marks that aren't in their
+    text, and a scene that begins nowhere, raise; a scene that is still open at
+    the end raises unless ``incomplete``, which drops it.
+    """
+    marks, states, notes = mend(boundaries, truncated)
+    notes = [(chunks[i][0], what) for i, what in notes]
+    done: list[list[tuple[int, int, int]]] = []
+    going: list[tuple[int, int, int]] | None = None
+    began = None
+    for (position, text, section), own, state in zip(chunks, marks, states):
+        cursor, rest = 0, list(own)
+        if going is not None:
+            if section != began:
+                notes.append((position, "the section changes under an open scene"))
+            start, end = rest.pop(0) if rest else (None, None)
+            if start is not None:
+                notes.append((position, "the start of a scene that goes on doesn't count"))
+            if end is None:
+                if rest:
+                    raise BoundaryError(f"chunk {position}: an open scene comes before other marks")
+                going.append((position, 0, len(text)))
+                continue
+            cursor = _place(text, end, 0) + len(end)
+            done.append([*going, (position, 0, cursor)])
+            going = None
+        elif not rest and state:
+            raise BoundaryError(f"chunk {position}: truncated, and there is no scene to go on")
         for k, (start, end) in enumerate(rest):
-            begin = None if start is None else text.find(start, cursor)
-            if begin is not None and begin < 0:
-                notes.append((position, "start not found"))
-                begin = None
-            stop = None if end is None else text.find(end, begin if begin is not None else cursor)
-            if stop is not None and stop < 0:
-                notes.append((position, "end not found"))
-                stop = None
-            if pieces is None and begin is None and k == 0 and done:
-                notes.append((position, "joined to the scene before"))
-                pieces = done.pop()
-            begin = cursor if begin is None else begin
-            finish = len(text) if stop is None else stop + len(end)
-            if pieces is not None and start is not None and k == 0:
-                done.append(pieces)
-                pieces = None
-            pieces = [*(pieces or []), (position, begin, finish)]
-            held, cursor = section, finish
-            if stop is not None or k + 1 < len(rest) or not cut:
-                if stop is None and k + 1 == len(rest) and not cut:
-                    notes.append((position, "closed at the end"))
-                done.append(pieces)
-                pieces = None
-    if pieces is not None:
-        done.append(pieces)
+            if start is None:
+                raise BoundaryError(f"chunk {position}: a scene begins nowhere")
+            if end is None and k + 1 < len(rest):
+                raise BoundaryError(f"chunk {position}: an open scene comes before other marks")
+            begin = _place(text, start, cursor)
+            cursor = len(text) if end is None else _place(text, end, begin) + len(end)
+            if not text[begin:cursor].strip():
+                raise BoundaryError(f"chunk {position}: an empty scene")
+            if end is None:
+                going, began = [(position, begin, cursor)], section
+            else:
+                done.append([(position, begin, cursor)])
+    if going is not None:
+        if not incomplete:
+            raise BoundaryError("the last scene is still open")
+        notes.append((going[0][0], "an incomplete scene was dropped"))
     return done, notes
 
 
-def rebuild_scenes(chunks: DataFrame, keys: Sequence[str], position: str, section: str, marks: str) -> DataFrame:
+def rebuild_scenes(chunks: DataFrame, keys: Sequence[str], position: str, section: str, marks: str, truncated: str | None = None, incomplete: bool = True) -> DataFrame:
     """``keys, scene, piece, position, span_start, span_end, error`` per group of chunks with ``text`` and an array of (start, end) marks.
 
-    A group with impossible marks gives one row with the error.  Scenes carry
-    over chunks, so a group is one task's work.
+    With a column that says which chunks are ``truncated`` the scenes are
+    recovered (``recover``), else rebuilt (``rebuild``).  A group with
+    impossible marks gives one row with the error.  Scenes carry over chunks,
+    so a group is one task's work.  Rebuilt scenes never cross a section, so
+    there the runs of one section are the groups and scenes are numbered
+    afterwards.
     """
+    if truncated is None:
+        runs = chunks.withColumn("_new", F.coalesce((~F.lag(section).over(W.partitionBy(*keys).orderBy(position)).eqNullSafe(F.col(section))).cast("int"), F.lit(1)))
+        runs = runs.withColumn("_run", F.sum("_new").over(W.partitionBy(*keys).orderBy(position).rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+        found = _by_group(runs, [*keys, "_run"], position, section, marks, None, True)
+        # Scenes of the runs before, and of an error none.
+        before = found.groupBy(*keys, "_run").agg((F.coalesce(F.max("scene"), F.lit(-1)) + 1).alias("_scenes"), F.max("error").alias("_error"))
+        first = before.withColumn("_before", F.coalesce(F.sum("_scenes").over(W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_failed", F.first("_error", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+        joined = found.join(first.select(*keys, "_run", "_before", "_failed"), [*keys, "_run"])
+        # A group with an error has only that row.
+        kept = joined.filter(F.col("_failed").isNull() | (F.col("error") == F.col("_failed")))
+        return kept.select(*keys, (F.col("scene") + F.col("_before")).cast("int").alias("scene"), "piece", "position", "span_start", "span_end", "error").dropDuplicates()
+    return _by_group(chunks, keys, position, section, marks, truncated, incomplete)
+
+
+def _by_group(chunks: DataFrame, keys: Sequence[str], position: str, section: str, marks: str, truncated: str | None, incomplete: bool) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -135,13 +188,13 @@ def rebuild_scenes(chunks: DataFrame, keys: Sequence[str], position: str, sectio
         rows = [(int(p), t or "", s) for p, t, s in zip(frame["_position"], frame["_text"], frame["_section"])]
         given = [[(m["start"], m["end"]) for m in (ms if ms is not None else [])] for ms in frame["_marks"]]
         try:
-            found = rebuild(rows, given)
+            found = rebuild(rows, given) if truncated is None else recover(rows, given, [bool(x) for x in frame["_truncated"]], incomplete)[0]
             out = [(*head, i, j, *piece, None) for i, scene in enumerate(found) for j, piece in enumerate(scene)]
         except BoundaryError as error:
             out = [(*head, None, None, None, None, None, str(error))]
         whole = {c: "Int64" for c in ("scene", "piece", "position", "span_start", "span_end")}
         return pd.DataFrame(out, columns=[*keys, "scene", "piece", "position", "span_start", "span_end", "error"]).astype(whole)
 
-    slim = chunks.select(*keys, F.col(position).alias("_position"), F.col("text").alias("_text"), F.col(section).alias("_section"), F.col(marks).alias("_marks"))
+    slim = chunks.select(*keys, F.col(position).alias("_position"), F.col("text").alias("_text"), F.col(section).alias("_section"), F.col(marks).alias("_marks"), (F.lit(False) if truncated is None else F.coalesce(truncated, F.lit(False))).alias("_truncated"))
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", scene int, piece int, position int, span_start int, span_end int, error string"
     return slim.groupBy(*keys).applyInPandas(run, schema)

@@ -11,14 +11,15 @@ from inkloom.plans.registry import query
 from inkloom.plans.sequence_queries import chunks
 from inkloom.session import table
 
-KEYS = ["book_key", "plot_index", "chunk_index"]
+KEYS = ["book_key", "plot_index"]
 
 
 def _sides(spark, sf_dir):
-    u = table(spark, sf_dir, "utterances").select("utterance_id", "conversation_id", "book_key", "plot_index", F.try_element_at("source_refs", F.lit(1))["chunk_index"].alias("chunk_index"), "utterance_index", "speaker", "content").distinct()
-    # A scene chunk has one text; repeated rows are the same.
-    p = table(spark, sf_dir, "plot_chunks").groupBy(*KEYS).agg(F.min("text").alias("text"))
-    return u, p
+    """All lines, and the text of every scene: its chunks in order, each once."""
+    u = table(spark, sf_dir, "utterances").select("utterance_id", "conversation_id", "book_key", "plot_index", "utterance_index", "speaker", "content").distinct()
+    p = table(spark, sf_dir, "plot_chunks").groupBy(*KEYS, "chunk_index").agg(F.min("text").alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "")
+    return u, p.groupBy(*KEYS).agg(whole.alias("text"))
 
 
 @query()

@@ -107,13 +107,20 @@ def scene_refs(spark, sf_dir):
 
 
 @query("""
-    WITH o AS (SELECT DISTINCT book_key, plot_index, 'candidate' AS kind FROM candidates), n AS (SELECT DISTINCT book_key, plot_index, 'scene' AS kind FROM plot_chunks)
-    SELECT book_key, plot_index, kind, 'old' AS side FROM o UNION ALL SELECT book_key, plot_index, kind, 'new' FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.book_key = n.book_key AND o.plot_index = n.plot_index)""")
+    SELECT DISTINCT book_key, plot_index, 'candidate' AS kind, 'old' AS side FROM candidates WHERE book_key IS NOT NULL
+    UNION ALL SELECT DISTINCT book_key, plot_index, 'scene', 'new' FROM plot_chunks p WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.book_key = p.book_key AND c.plot_index = p.plot_index)""")
 def keyed_union(spark, sf_dir):
-    """Scenes of the candidates, and the other scenes added."""
-    o = table(spark, sf_dir, "candidates").select("book_key", "plot_index", F.lit("candidate").alias("kind")).distinct()
-    n = table(spark, sf_dir, "plot_chunks").select("book_key", "plot_index", F.lit("scene").alias("kind")).distinct()
-    return K.keyed_union(o, n, ["book_key", "plot_index"])
+    """Scenes of the candidates, and the scenes without one; both sides may share no key."""
+    scenes = table(spark, sf_dir, "candidates").filter("book_key is not null").select("book_key", "plot_index", F.lit("candidate").alias("kind")).distinct()
+    others = table(spark, sf_dir, "plot_chunks").select("book_key", "plot_index", F.lit("scene").alias("kind")).distinct().join(scenes.select("book_key", "plot_index"), ["book_key", "plot_index"], "left_anti")
+    return K.keyed_union(scenes, others, ["book_key", "plot_index"])
+
+
+@query("""
+    SELECT DISTINCT p.book_key, p.plot_index FROM plot_chunks p JOIN candidates c ON p.book_key = c.book_key AND p.plot_index = c.plot_index""")
+def union_overlap(spark, sf_dir):
+    """The keys that would make the union of candidates' scenes and all scenes fail."""
+    return K.overlap(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "plot_chunks"), ["book_key", "plot_index"])
 
 
 @query(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkloom.functions import text as T
+from inkloom.operators import alignment as A
 from inkloom.operators import names as N
 from inkloom.operators import ranking as R
 from inkloom.operators import relations as J
@@ -121,14 +122,14 @@ def merged_catalogue(spark, sf_dir):
 
 @query(f"""
     WITH u AS (SELECT DISTINCT utterance_id, book_key, speaker FROM utterances),
-    a AS (SELECT DISTINCT book_key, names[1] AS name, unnest(names) AS alias FROM {_OBS} WHERE len(names) > 0),
-    m AS (SELECT book_key, alias, max(name) AS name FROM a GROUP BY ALL)
+    a AS (SELECT DISTINCT observation_id, book_key, names[1] AS name, unnest(names) AS alias FROM {_OBS} WHERE len(names) > 0),
+    m AS (SELECT book_key, alias, arg_max(name, (observation_id, name)) AS name FROM a WHERE name IS NOT NULL GROUP BY ALL)
     SELECT u.utterance_id, coalesce(m.name, u.speaker) AS speaker FROM u LEFT JOIN m ON u.book_key = m.book_key AND u.speaker = m.alias""")
 def canonical_speakers(spark, sf_dir):
-    """Speakers under the first name of their observation."""
+    """Speakers under the first name of the last observation that knows them."""
     rows = table(spark, sf_dir, "utterances").select("utterance_id", "book_key", "speaker").distinct()
-    a = observations(spark, sf_dir).filter(F.size("names") > 0).select("book_key", F.col("names")[0].alias("name"), F.explode("names").alias("alias"))
-    return J.canonical(rows, a, ["book_key"], "speaker", "alias", "name").select("utterance_id", "speaker")
+    a = observations(spark, sf_dir).filter(F.size("names") > 0).select("observation_id", "book_key", F.col("names")[0].alias("name"), F.explode("names").alias("alias")).filter("name is not null")
+    return J.canonical(rows, a, ["book_key"], "speaker", "alias", "name", ["observation_id"]).select("utterance_id", "speaker")
 
 
 @query(f"""
@@ -210,22 +211,35 @@ def duplicate_keys(spark, sf_dir):
     return J.duplicate_keys(table(spark, sf_dir, "text_chunks"), ["file", "chunk_index"])
 
 
+_NORMAL = "lower(regexp_replace({}, '[ \\t\\n\\r\\x{{3000}}\\p{{P}}]+', '', 'g'))"
+
+
 @query(f"""
-    WITH a AS (SELECT DISTINCT conversation_id, book_key, lower(regexp_replace(content, '[ \\t\\n\\r\\x{{3000}}\\p{{P}}]+', '', 'g')) AS t FROM utterances WHERE speaker <> 'Environment'),
-    s AS (SELECT DISTINCT conversation_id, book_key, t FROM a WHERE length(t) >= 4),
-    p AS (SELECT DISTINCT book_key, plot_index, lower(regexp_replace(text, '[ \\t\\n\\r\\x{{3000}}\\p{{P}}]+', '', 'g')) AS x FROM plot_chunks),
-    q AS (SELECT s.conversation_id, p.plot_index, count(DISTINCT s.t) AS hits FROM s JOIN p ON s.book_key = p.book_key AND strpos(p.x, s.t) > 0 GROUP BY ALL),
-    n AS (SELECT conversation_id, count(*) AS anchors FROM s GROUP BY 1),
-    f AS (SELECT q.conversation_id, q.plot_index, hits, hits / anchors::DOUBLE AS score, row_number() OVER (PARTITION BY q.conversation_id ORDER BY hits / anchors::DOUBLE DESC, q.plot_index) AS rn, lead(hits / anchors::DOUBLE) OVER (PARTITION BY q.conversation_id ORDER BY hits / anchors::DOUBLE DESC, q.plot_index) AS nxt FROM q JOIN n USING (conversation_id))
-    SELECT conversation_id, plot_index, hits, score FROM f WHERE rn = 1 AND score >= 0.05 AND (nxt IS NULL OR score - nxt > 0.01)""")
+    WITH RECURSIVE l AS (SELECT DISTINCT utterance_id, conversation_id AS r, book_key AS b, utterance_index AS i, speaker, {_NORMAL.format('content')} AS t FROM utterances WHERE speaker <> 'Environment'),
+    f AS (SELECT r, b, min(speaker) AS who FROM l GROUP BY ALL),
+    a AS (SELECT r, b, t, speaker = who AS target, row_number() OVER (PARTITION BY r, b ORDER BY i, utterance_id) AS k FROM l JOIN f USING (r, b) WHERE length(t) >= 4),
+    s AS (SELECT book_key AS b, plot_index AS p, {_NORMAL.format("string_agg(text, '' ORDER BY chunk_index)")} AS x FROM (SELECT book_key, plot_index, chunk_index, min(text) AS text FROM plot_chunks GROUP BY ALL) GROUP BY ALL),
+    pairs AS (SELECT DISTINCT a.r, a.b, s.p FROM a JOIN s ON a.b = s.b AND strpos(s.x, a.t) > 0),
+    walk AS (
+        SELECT r, b, p, 0 AS k, 0 AS cur, 0 AS chars, 0 AS n, 0 AS bonus FROM pairs
+        UNION ALL
+        SELECT w.r, w.b, w.p, a.k::INT, CASE WHEN strpos(substr(s.x, w.cur + 1), a.t) > 0 THEN w.cur + strpos(substr(s.x, w.cur + 1), a.t) - 1 + length(a.t) ELSE w.cur END,
+            w.chars + CASE WHEN strpos(substr(s.x, w.cur + 1), a.t) > 0 THEN length(a.t) ELSE 0 END, w.n + CASE WHEN strpos(substr(s.x, w.cur + 1), a.t) > 0 THEN 1 ELSE 0 END,
+            w.bonus + CASE WHEN strpos(substr(s.x, w.cur + 1), a.t) > 0 AND a.target THEN 10 ELSE 0 END
+        FROM walk w JOIN a ON a.r = w.r AND a.b = w.b AND a.k = w.k + 1 JOIN s ON s.b = w.b AND s.p = w.p),
+    total AS (SELECT r, b, sum(length(t)) AS chars, max(k) AS k FROM a GROUP BY ALL),
+    scored AS (SELECT w.r, w.b, w.p, w.chars + w.bonus AS score, w.chars / total.chars::DOUBLE AS coverage, w.n FROM walk w JOIN total ON w.r = total.r AND w.b = total.b AND w.k = total.k),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY r, b ORDER BY score DESC, coverage DESC, p) AS rn, lead(score) OVER (PARTITION BY r, b ORDER BY score DESC, coverage DESC, p) AS nxt FROM scored)
+    SELECT r AS conversation_id, b AS book_key, p AS plot_index, score::BIGINT AS score, coverage, n::BIGINT AS anchors FROM ranked WHERE rn = 1 AND score >= 20 AND n >= 2 AND coverage >= 0.45 AND (nxt IS NULL OR nxt < score - 5)""")
 def plot_choice(spark, sf_dir):
-    """The scene in which most of a conversation's strong lines are found, unless another is as good."""
-    said = table(spark, sf_dir, "utterances").filter(F.col("speaker") != T.NARRATOR).select("conversation_id", "book_key", T.match_text(F.col("content")).alias("t")).filter(F.length("t") >= 4).distinct()
-    plots = table(spark, sf_dir, "plot_chunks").select("book_key", "plot_index", T.match_text(F.col("text")).alias("x")).distinct()
-    hits = said.join(plots, "book_key").filter(F.contains("x", "t")).groupBy("conversation_id", "plot_index").agg(F.count_distinct("t").alias("hits"))
-    anchors = said.groupBy("conversation_id").agg(F.count("*").alias("anchors"))
-    scored = hits.join(anchors, "conversation_id").withColumn("score", F.col("hits") / F.col("anchors")).drop("anchors")
-    return J.best_match(scored, ["conversation_id"], "plot_index", "score", 0.05, 0.01)
+    """The scene that holds a conversation's strong lines one after the other, unless another holds nearly as many."""
+    lines = table(spark, sf_dir, "utterances").filter(F.col("speaker") != T.NARRATOR).select("utterance_id", "conversation_id", "book_key", "utterance_index", "speaker", T.match_text(F.col("content")).alias("anchor")).distinct()
+    first = lines.groupBy("conversation_id", "book_key").agg(F.min("speaker").alias("_who"))
+    anchors = lines.join(first, ["conversation_id", "book_key"]).withColumn("target", F.col("speaker") == F.col("_who")).filter(F.length("anchor") >= 4)
+    chunks = table(spark, sf_dir, "plot_chunks").groupBy("book_key", "plot_index", "chunk_index").agg(F.min("text").alias("text"))
+    scenes = chunks.groupBy("book_key", "plot_index").agg(T.match_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "")).alias("text"))
+    scored = A.score_scenes(anchors, scenes, ["book_key"], "conversation_id", ["utterance_index", "utterance_id"], "plot_index")
+    return J.chosen(scored, ["conversation_id", "book_key"], "plot_index").select("conversation_id", "book_key", "plot_index", "score", "coverage", "anchors")
 
 
 @query("""
@@ -369,3 +383,16 @@ def narrative_order(spark, sf_dir):
     """Resources in the order of the story."""
     r = table(spark, sf_dir, "text_resources").select("book_key", "path", "display_name", "narrative_order").distinct()
     return R.global_row_number(r, ["narrative_order", "path"], "place").drop("path")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, doc_kind, n_chars, count(*) OVER () AS n, count(*) FILTER (doc_kind = 'notes') OVER () AS a, count(*) FILTER (doc_kind = 'summary') OVER () AS b FROM documents),
+    x AS (SELECT *, 2 * (least(a, b) // 3) + 1 AS gone FROM d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_kind ORDER BY md5('11:' || doc_id), doc_id) AS k FROM x),
+    kept AS (SELECT * FROM r WHERE NOT (doc_kind = 'notes' AND k <= gone // 2) AND NOT (doc_kind = 'summary' AND k <= gone - gone // 2) OR doc_kind IS NULL)
+    SELECT doc_id, doc_kind, row_number() OVER (ORDER BY doc_id) AS place FROM kept""")
+def equal_deletions(spark, sf_dir):
+    """All documents but some notes and as many summaries."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "doc_kind")
+    n = docs.agg(F.count("*").alias("n"), F.count_if(F.col("doc_kind") == "notes").alias("a"), F.count_if(F.col("doc_kind") == "summary").alias("b")).first()
+    return R.equal_deletions(docs, "doc_kind", ["doc_id"], "doc_id", ["notes", "summary"], n["n"] - 2 * (min(n["a"], n["b"]) // 3) - 1, 11)

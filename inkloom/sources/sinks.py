@@ -43,13 +43,32 @@ def write_chat(samples: DataFrame, path: str, keys: list[str], target: str = "ta
     rows.select("messages", F.coalesce(F.nullif(T.safe_filename(F.col(target)), F.lit("")), F.lit("character")).alias("character")).write.mode("overwrite").partitionBy("character").json(f"{path}/by_character")
 
 
-def write_profiles(profiles: DataFrame, path: str) -> None:
-    """``name, profile`` as one text file each, in folders ``file=<number>-<safe name>``."""
+def write_profiles(profiles: DataFrame, path: str) -> list[str]:
+    """``name, profile`` as one text file each, ``<number>-<safe name>.txt``; returns the files' names.
+
+    Spark writes a folder per file; the driver then moves each to its name,
+    which touches no contents.
+    """
     from inkloom.operators.ranking import global_row_number
 
+    spark = profiles.sparkSession
     numbered = global_row_number(profiles.select("name", "profile"), ["name"], "_n")
-    file = F.concat(F.format_string("%04d-", "_n"), F.coalesce(F.nullif(T.safe_filename(F.col("name")), F.lit("")), F.lit("character")))
-    numbered.select(file.alias("file"), F.col("profile").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+    file = F.concat(F.format_string("%04d-", "_n"), F.coalesce(F.nullif(T.safe_filename(F.col("name")), F.lit("")), F.lit("character")), F.lit(".txt"))
+    numbered.select(file.alias("file"), F.col("profile").alias("value")).repartition("file").write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(path)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = []
+    for status in system.listStatus(root):
+        folder = status.getPath()
+        if not folder.getName().startswith("file="):
+            continue
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getName()[len("file=") :])
+        part = next(p.getPath() for p in system.listStatus(folder) if p.getPath().getName().startswith("part-"))
+        system.rename(part, jvm.Path(root, name))
+        system.delete(folder, True)
+        names.append(name)
+    return sorted(names)
 
 
 def free_folder(spark, root: str, slug: str) -> str:

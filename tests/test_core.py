@@ -179,8 +179,111 @@ def test_scenes():
     assert scenes.rebuild(chunks, [[("ab", "ab"), ("cd", None)], [(None, "ef"), ("gh", "gh")]]) == [[(0, 0, 2)], [(0, 3, 5), (1, 0, 2)], [(1, 3, 5)]]
     with pytest.raises(scenes.BoundaryError):
         scenes.rebuild(chunks, [[("zz", None)], []])
-    done, notes = scenes.recover(chunks, [[("zz", "cd")], []], [False, False])
-    assert done == [[(0, 0, 5)]] and {n for _, n in notes} == {"start not found", "no marks"}
+
+
+def test_recovered_scenes():
+    chunks = [(0, "ab cd", "s"), (1, "ef gh", "s"), (2, "ij kl", "t")]
+    # A truncated chunk's end doesn't count; a finished chunk without one stays open; the next mark closes whatever its start.
+    done, notes = scenes.recover(chunks, [[("ab", "ab")], [("ef", "ef")], [("ij", "kl")]], [True, False, False])
+    assert done == [[(0, 0, 5), (1, 0, 2)], [(2, 0, 5)]] and [p for p, _ in notes] == [0, 1]
+    done, _ = scenes.recover(chunks, [[("cd", None)], [], [(None, "ij")]], [False, True, False])
+    assert done == [[(0, 3, 5), (1, 0, 5), (2, 0, 2)]]
+    # A scene without a start joins the one before it, in its chunk or in the last with marks.
+    done, _ = scenes.recover(chunks[:2], [[("ab", "ab"), (None, "cd")], [("ef", "gh")]], [False, False])
+    assert done == [[(0, 0, 5)], [(1, 0, 5)]]
+    done, notes = scenes.recover(chunks[:2], [[("ab", "cd")], [(None, "ef"), ("gh", "gh")]], [False, False])
+    assert done == [[(0, 0, 5), (1, 0, 2)], [(1, 3, 5)]] and any("goes on" in what for _, what in notes)
+    for marks, states in (([[("zz", None)]], [True]), ([[]], [True]), ([[(None, "ab")]], [False]), ([[("ab", None)]], [True]), ([[("ab", None), ("cd", "cd")]], [False])):
+        with pytest.raises(scenes.BoundaryError):
+            scenes.recover(chunks[:1], marks, states)
+    assert scenes.recover(chunks[:1], [[("ab", None)]], [True], incomplete=True)[0] == []
+    assert scenes.recover([], [], []) == ([], [])
+
+
+def test_recovered_scenes_as_rows(spark):
+    marks = "array<struct<start: string, end: string>>"
+    rows = [("b", 0, "ab cd", "s", [("ab", None)], True), ("b", 1, "ef gh", "s", [(None, "ef"), ("gh", "gh")], False), ("c", 0, "xy", "s", [("zz", None)], True)]
+    df = spark.createDataFrame(rows, f"book string, pos int, text string, section string, marks {marks}, cut boolean")
+    got = scenes.rebuild_scenes(df, ["book"], "pos", "section", "marks", "cut").orderBy("book", "scene", "piece").collect()
+    assert [(r["book"], r["scene"], r["piece"], r["position"], r["span_start"], r["span_end"]) for r in got[:3]] == [("b", 0, 0, 0, 0, 5), ("b", 0, 1, 1, 0, 2), ("b", 1, 0, 1, 3, 5)]
+    assert got[3]["book"] == "c" and "zz" in got[3]["error"] and len(got) == 4
+
+
+def test_rebuilt_scenes_are_numbered_over_sections(spark):
+    rows = [("b", 0, "ab", "s", []), ("b", 1, "cd", "t", []), ("b", 2, "ef", "t", [(None, "e"), ("f", "f")]), ("b", 3, "gh", "s", []), ("c", 0, "x", "s", [("zz", None)]), ("c", 1, "y", "t", [])]
+    df = spark.createDataFrame(rows, "book string, pos int, text string, section string, marks array<struct<start: string, end: string>>")
+    got = scenes.rebuild_scenes(df, ["book"], "pos", "section", "marks").collect()
+    assert sorted((r["scene"], r["position"], r["span_start"], r["span_end"]) for r in got if r["book"] == "b") == [(0, 0, 0, 2), (1, 1, 0, 2), (1, 2, 0, 1), (2, 2, 1, 2), (3, 3, 0, 2)]
+    assert [(r["scene"], r["error"] is not None) for r in got if r["book"] == "c"] == [(None, True)]
+
+
+def test_lines_are_located_by_clauses():
+    text = "雨停了。他说：走吧，我们回家！她没有动。走吧。"
+    assert A.locate_line(text, "我们", 0) == (100.0, 10, 15) and text[10:15] == "我们回家！"
+    assert A.locate_line(text, "走吧", 8)[1:] == (20, 23)  # never left of the cursor
+    assert A.locate_line(text, "*(她没有动)*", 0)[1:] == (15, 20)
+    assert A.locate_line("one line\nnext", "line", 0)[1:] == (0, 8)  # a line end stays outside
+    score, start, end = A.locate_line(text, "我们回家了", 0)
+    assert 80 <= score < 100 and "我们回家" in text[start:end]
+    assert A.locate_line(text, "没有的话在这里", 0) is None and A.locate_line(text, "走吧", len(text)) is None
+    found = A.locate_lines(text, [("甲", "走吧"), ("Environment", "*(雨停了)*"), ("乙", "没有的话在这里"), ("乙", "走吧"), ("乙", "雨停了")])
+    assert [f and f[1:] for f in found] == [(7, 10), None, None, (20, 23), None]
+
+
+def brute_score(anchors, text):
+    at, out = 0, []
+    for a, target in anchors:
+        if a in text[at:]:
+            at = at + text[at:].index(a) + len(a)
+            out.append((a, target))
+    return sum(len(a) + (10 if t else 0) for a, t in out), len(out)
+
+
+def test_scenes_are_scored_in_order(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["alpha", "beta0", "gammarays", "delta", "epsilonandmore", "zeta"]
+    texts = {p: "".join(rng.choice(words) for _ in range(8)) for p in range(12)}
+    records = {r: [(rng.choice(words), rng.random() < 0.5) for _ in range(4)] for r in range(20)}
+    anchors = spark.createDataFrame([("b", r, k, a, t) for r, items in records.items() for k, (a, t) in enumerate(items)], "book string, rec int, k int, anchor string, target boolean")
+    plots = spark.createDataFrame([("b", p, t) for p, t in texts.items()], "book string, plot int, text string")
+    got = {(x["rec"], x["plot"]): (x["score"], x["anchors"]) for x in A.score_scenes(anchors, plots, ["book"], "rec", ["k"], "plot").collect()}
+    for r, items in records.items():
+        for p, t in texts.items():
+            if sum(a in t for a, _ in items) >= 2:
+                assert got[r, p] == brute_score(items, t)
+    assert A.score_scenes(anchors.limit(0), plots, ["book"], "rec", ["k"], "plot").count() == 0
+
+
+def test_union_of_shared_keys_fails(spark):
+    from inkloom.operators import records as K
+
+    a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(1, "y"), (2, "z")], "k int, v string")
+    assert [r["k"] for r in K.overlap(a, b, ["k"]).collect()] == [1]
+    with pytest.raises(Exception, match="both sides"):
+        K.keyed_union(a, b, ["k"]).collect()
+    assert sorted((r["k"], r["side"]) for r in K.keyed_union(a, b.filter("k = 2"), ["k"]).collect()) == [(1, "old"), (2, "new")]
+
+
+def test_equal_deletions(spark):
+    from inkloom.operators import ranking as R
+
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)] + [(99, None)], "k int, s string")
+    got = R.equal_deletions(rows, "s", ["k"], "k", ["a", "b"], 26, 7).orderBy("place").collect()
+    kinds = [r["s"] for r in got]
+    assert (kinds.count("a"), kinds.count("b"), kinds.count("c"), kinds.count(None)) == (8, 7, 10, 1)
+    assert [r["k"] for r in got] == sorted(r["k"] for r in got) and [r["place"] for r in got] == list(range(1, 27))
+    assert R.equal_deletions(rows, "s", ["k"], "k", ["a", "b"], 31, 7).count() == 31
+    for target in (0, 32, 30, 5):
+        with pytest.raises(ValueError):
+            R.equal_deletions(rows, "s", ["k"], "k", ["a", "b"], target, 7)
+
+
+def test_profile_files(spark, tmp_path):
+    names = sinks.write_profiles(spark.createDataFrame([("B/x", "two\nlines"), ("A", "one"), ("  ", "three")], "name string, profile string"), str(tmp_path / "p"))
+    assert names == ["0001-character.txt", "0002-A.txt", "0003-B_x.txt"]
+    assert (tmp_path / "p" / "0003-B_x.txt").read_text() == "two\nlines\n"
 
 
 # -- files, models, streams --------------------------------------------------

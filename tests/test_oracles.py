@@ -15,7 +15,7 @@ def test_query_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save()
 
 
 def test_flagship(spark):
