@@ -55,6 +55,7 @@ def links(messages: DataFrame) -> DataFrame:
     again = slim.filter(lost & F.col("content").isNotNull() & F.col("created_at").isNotNull()).groupBy(F.xxhash64("sender_role", "content", "created_at").alias("_h"), "sender_role", "created_at", F.md5("content").alias("_d"))
     first = again.agg(F.min("message_id").alias("one"), F.collect_set("message_id").alias("ids")).filter(F.size("ids") > 1).select("one", F.explode("ids").alias("message_id"))
     same = first.filter("one <> message_id").select(F.col("one").alias("a"), F.col("message_id").alias("b"))
+    first = cut(first, "again")
     owned = slim.join(first, "message_id", "left").withColumn("owner", _node(F.col("chat_session_id"), F.coalesce("one", "message_id"))).withColumn("lost", lost)
     calls = F.regexp_extract_all("tool_calls_json", F.lit(r'"id"\s*:\s*"([^"]+)"'), F.lit(1))
     blocks = F.transform(F.regexp_extract_all("content", F.lit(QUOTED), F.lit(0)), lambda q: _digest(F.regexp_replace(q, QUOTE_MARK, "")))
@@ -62,9 +63,10 @@ def links(messages: DataFrame) -> DataFrame:
     text = F.when(visible(F.col("content")), _digest(F.col("content")))
     bears = owned.select("message_id", "owner", "lost", F.explode(F.array_distinct(F.concat(F.transform(F.coalesce(calls, F.array().cast("array<string>")), lambda c: F.concat(F.lit("c"), c)), F.array_compact(F.array(F.concat(F.lit("q"), text)))))).alias("key"))
     names = owned.select("message_id", "owner", "lost", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(F.concat(F.lit("c"), F.col("tool_call_id")))), F.transform(F.coalesce(blocks, F.array().cast("array<string>")), lambda c: F.concat(F.lit("q"), c))))).alias("key"))
-    named = names.select("key").distinct()
-    single = bears.join(named, "key", "left_semi").groupBy("key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.min("message_id").alias("b"), F.min("lost").alias("b_lost")).filter("lo = hi").select("key", "b", "b_lost", F.col("lo").alias("b_owner"))
-    found = names.join(single, "key").filter("owner <> b_owner and (lost or b_lost)").select(F.col("message_id").alias("a"), "b")
+    # Only keys of rows without a conversation can link; written first, so that their size is known before all rows meet them.
+    asked = cut(bears.filter("lost").select("key").unionByName(names.filter("lost").select("key")).distinct(), "keys")
+    single = bears.join(asked, "key", "left_semi").groupBy("key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.min("message_id").alias("b"), F.min("lost").alias("b_lost")).filter("lo = hi").select("key", "b", "b_lost", F.col("lo").alias("b_owner"))
+    found = names.join(asked, "key", "left_semi").join(single, "key").filter("owner <> b_owner and (lost or b_lost)").select(F.col("message_id").alias("a"), "b")
     return found.unionByName(same)
 
 
@@ -74,15 +76,18 @@ def identify(messages: DataFrame) -> DataFrame:
     A component with several known conversations proves none of them: its rows
     without one stay together under a number of their own.
     """
-    joined = links(messages)
+    joined = cut(links(messages), "links")
     lost = messages.filter(F.col("chat_session_id").isNull() & F.col("message_id").isNotNull()).select(F.col("message_id").cast("bigint").alias("a"), F.col("message_id").cast("bigint").alias("b"))
     # A known conversation is one node, so that its rows aren't linked one by one.
-    known = messages.filter(F.col("chat_session_id").isNotNull()).select("message_id", "chat_session_id").distinct()
+    ends = cut(joined.select(F.col("a").alias("message_id")).unionByName(joined.select(F.col("b").alias("message_id"))).distinct(), "ends")
+    known = cut(messages.filter(F.col("chat_session_id").isNotNull()).select("message_id", "chat_session_id").join(ends, "message_id", "left_semi").distinct(), "known")
     sides = joined.join(known.select(F.col("message_id").alias("a"), F.col("chat_session_id").alias("_sa")), "a", "left").join(known.select(F.col("message_id").alias("b"), F.col("chat_session_id").alias("_sb")), "b", "left")
     own = lost.select(_node(F.lit(None), F.col("a")).alias("a"), _node(F.lit(None), F.col("b")).alias("b"))
     parts = cut(components(sides.select(_node(F.col("_sa"), F.col("a")).alias("a"), _node(F.col("_sb"), F.col("b")).alias("b")).unionByName(own)), "sessions").withColumns({"row": F.pmod("node", F.lit(2)) == 1, "id": F.expr("(node - pmod(node, 2)) div 2")})
     facts = parts.groupBy("component").agg(F.min(F.when(~F.col("row"), F.col("id"))).alias("lo"), F.max(F.when(~F.col("row"), F.col("id"))).alias("hi"), F.min(F.when(F.col("row"), F.col("id"))).alias("first"))
     found = parts.filter("row").join(facts, "component").select(F.col("id").alias("message_id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.col("first") - 1).alias("found"))
+    # Written first as well: all messages meet it, and it holds only the rows that lacked a conversation.
+    found = cut(found, "found")
     return messages.join(found, "message_id", "left").withColumn("chat_session_id", F.coalesce("chat_session_id", "found")).drop("found").select(*messages.columns)
 
 
