@@ -14,6 +14,7 @@ from inkloom.operators import sequence as S
 from inkloom.plans.registry import query
 from inkloom.plans.sequence_queries import _CHUNKS, _LINES, chunks, lines
 from inkloom.session import table
+from inkloom.sources import datasets as D
 
 _OBS = "(SELECT DISTINCT observation_id, book_key, names, description, plot_indexes FROM character_candidates)"
 #: Candidate names clustered per book, by the least observation reachable over shared names.
@@ -396,3 +397,76 @@ def equal_deletions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "doc_kind")
     n = docs.agg(F.count("*").alias("n"), F.count_if(F.col("doc_kind") == "notes").alias("a"), F.count_if(F.col("doc_kind") == "summary").alias("b")).first()
     return R.equal_deletions(docs, "doc_kind", ["doc_id"], "doc_id", ["notes", "summary"], n["n"] - 2 * (min(n["a"], n["b"]) // 3) - 1, 11)
+
+
+@query(f"""
+    WITH c AS (SELECT DISTINCT file, chunk_id, chunk_index FROM {_CHUNKS}),
+    r AS (SELECT path, min(narrative_order) AS o FROM text_resources WHERE narrative_order IS NOT NULL GROUP BY 1)
+    SELECT c.file, c.chunk_id, row_number() OVER (ORDER BY r.o, c.file, c.chunk_index, c.chunk_id) - 1 AS global_index FROM c JOIN r ON c.file = r.path""")
+def appended_chunks(spark, sf_dir):
+    """The chunks of all resources under one running index."""
+    rows = chunks(spark, sf_dir).select("file", "chunk_id", "chunk_index").distinct().withColumn("_order", F.struct("chunk_index", "chunk_id"))
+    resources = table(spark, sf_dir, "text_resources").filter("narrative_order is not null").groupBy(F.col("path").alias("file")).agg(F.min("narrative_order").alias("narrative_order"))
+    return D.appended_chunks(rows, resources, "file", "narrative_order", "_order").select("file", "chunk_id", "global_index")
+
+
+@query("""
+    WITH u AS (SELECT DISTINCT utterance_id, book_key, plot_index, utterance_index, 0 AS side FROM utterances WHERE speaker <> 'Environment'),
+    v AS (SELECT DISTINCT utterance_id, book_key, plot_index, utterance_index, 1 AS side FROM utterances WHERE speaker = 'Environment'),
+    b AS (SELECT * FROM u UNION ALL SELECT * FROM v)
+    SELECT utterance_id, side, row_number() OVER (PARTITION BY book_key, plot_index ORDER BY utterance_index NULLS LAST, side, utterance_id) - 1 AS place FROM b""")
+def ordered_merge(spark, sf_dir):
+    """What is said and what is told in a scene, merged by position."""
+    u = table(spark, sf_dir, "utterances").select("utterance_id", "book_key", "plot_index", "utterance_index", "speaker").distinct()
+    said, told = (u.filter(x).drop("speaker") for x in (F.col("speaker") != T.NARRATOR, F.col("speaker") == T.NARRATOR))
+    return D.ordered_merge(said, told, ["book_key", "plot_index"], "utterance_index", ["utterance_id"]).select("utterance_id", "side", "place")
+
+
+@query("""
+    WITH m AS (SELECT message_id, max(created_at) AS at, arg_max(coalesce(content, ''), (created_at, coalesce(content, ''))) AS content, arg_max(kind, (created_at, coalesce(content, ''))) AS kind FROM chat_messages WHERE message_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1)
+    SELECT message_id, content FROM m WHERE message_id % 2 = 0 AND message_id % 3 <> 0
+    UNION ALL SELECT message_id, content || '!' FROM m WHERE message_id % 3 = 0 AND kind <> 'event'""")
+def applied_changes(spark, sf_dir):
+    """Messages after a set of changes: every third is changed or added, events among those are deleted."""
+    last = F.struct("created_at", F.coalesce("content", F.lit("")))
+    m = table(spark, sf_dir, "chat_messages").filter("message_id is not null and created_at is not null").groupBy("message_id").agg(F.max_by(F.coalesce("content", F.lit("")), last).alias("content"), F.max_by("kind", last).alias("kind"), F.max("created_at").alias("at"))
+    third = m.filter("message_id % 3 = 0")
+    early = third.select("message_id", F.lit("early").alias("content"), F.lit(False).alias("gone"), F.lit(0).alias("turn"))
+    late = third.select("message_id", F.concat("content", F.lit("!")).alias("content"), (F.col("kind") == "event").alias("gone"), F.lit(1).alias("turn"))
+    return D.apply_changes(m.filter("message_id % 2 = 0").select("message_id", "content"), early.unionByName(late), ["message_id"], "gone", "turn")
+
+
+@query("""
+    WITH p AS (SELECT book_key, plot_index, chunk_index, min(text) AS t FROM plot_chunks WHERE chunk_index >= 0 GROUP BY ALL),
+    c AS (SELECT DISTINCT p.* FROM p JOIN utterances u ON u.book_key = p.book_key AND u.plot_index = p.plot_index),
+    n AS (SELECT *, row_number() OVER (PARTITION BY book_key, plot_index ORDER BY chunk_index) - 1 AS k FROM c),
+    g AS (SELECT book_key, plot_index, count(*) AS chunks, string_agg(t, '' ORDER BY chunk_index) AS t, sum(length(t)) - arg_max(length(t), chunk_index) AS last_start FROM n WHERE k = chunk_index GROUP BY ALL)
+    SELECT book_key, plot_index, chunks, md5(t) AS text_md5, last_start::BIGINT AS last_start FROM g""")
+def scene_texts(spark, sf_dir):
+    """The covered beginning of each scene, and where its last chunk begins."""
+    p = table(spark, sf_dir, "plot_chunks").groupBy("book_key", "plot_index", "chunk_index").agg(F.min("text").alias("text"))
+    said = table(spark, sf_dir, "utterances").select("book_key", "plot_index").distinct()
+    out = D.scene_texts(p, p.join(said, ["book_key", "plot_index"], "left_semi"), ["book_key", "plot_index"], "chunk_index", "text")
+    return out.select("book_key", "plot_index", "chunks", F.md5("text").alias("text_md5"), F.element_at("starts", -1).alias("last_start"))
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT candidate_id, messages FROM candidates), m AS (SELECT candidate_id, unnest(range(len(messages))) AS i, unnest(messages) AS m FROM e),
+    l AS (SELECT candidate_id, i, m.role AS role, unnest(range(len(CASE WHEN m.role = 'user' THEN string_split_regex(coalesce(m.content, ''), '\\r\\n|\\r|\\n') ELSE [coalesce(m.content, '')] END))) AS k,
+        unnest(CASE WHEN m.role = 'user' THEN string_split_regex(coalesce(m.content, ''), '\\r\\n|\\r|\\n') ELSE [coalesce(m.content, '')] END) AS line FROM m WHERE m.role <> 'system')
+    SELECT candidate_id, i::INT AS message_index, k::INT AS unit_index, role <> 'user' AS reply FROM l WHERE regexp_replace(line, '^[ \\t\\n\\r\\x{3000}\\x{a0}\\v\\f]+|[ \\t\\n\\r\\x{3000}\\x{a0}\\v\\f]+$', '', 'g') <> ''""")
+def message_units(spark, sf_dir):
+    """The units of all messages: replies whole, a user's line by line."""
+    rows = table(spark, sf_dir, "candidates").select("candidate_id", "messages").distinct()
+    return D.message_units(rows, ["candidate_id"]).select("candidate_id", "message_index", "unit_index", (F.col("kind") == "reply").alias("reply"))
+
+
+@query("""
+    WITH n AS (SELECT DISTINCT candidate_id, book_key, plot_index, messages FROM candidates), m AS (SELECT candidate_id, book_key, plot_index, unnest(range(len(messages))) AS i, unnest(messages) AS m FROM n)
+    SELECT book_key, plot_index, count(*) AS changes, md5(string_agg(coalesce(m.role, ''), '|' ORDER BY candidate_id, i)) AS roles FROM m GROUP BY ALL""")
+def transition_documents(spark, sf_dir):
+    """The nested document of each scene, read back and counted."""
+    m = table(spark, sf_dir, "candidates").select("candidate_id", "book_key", "plot_index", "messages").distinct().select("candidate_id", "book_key", "plot_index", F.posexplode("messages").alias("i", "m")).select("candidate_id", "book_key", "plot_index", "i", F.coalesce("m.role", F.lit("")).alias("role"), F.array("m.content").alias("nodes"))
+    out = D.transition_document(m, ["book_key", "plot_index"], ["candidate_id", "i"], "role", "nodes")
+    back = F.from_json("document", "array<struct<source: string, nodes: array<string>>>")
+    return out.select("book_key", "plot_index", F.size(back).cast("bigint").alias("changes"), F.md5(F.array_join(F.transform(back, lambda x: x["source"]), "|")).alias("roles"))

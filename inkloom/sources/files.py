@@ -66,7 +66,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", f"^{_BOM}", "").alias("value")).filter(T.strip(F.col("value")) != "")
     if schema is None:
-        return spark.read.option("mode", "FAILFAST").json(lines.select("value").rdd.map(lambda r: r[0]))
+        return spark.read.option("mode", "FAILFAST").json(path)
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v")).select("v.*")
 
 
@@ -172,12 +172,13 @@ def page_batches(pages: DataFrame, size: int) -> DataFrame:
     """Add ``batch_index``: successive pages of one directory, at most ``size`` together."""
     from pyspark.sql import Window as W
 
-    w = W.orderBy("page_index")
+    from inkloom.operators.ranking import global_row_number
+
     # Directories are successive in page order, so each is numbered by its first page.
     own = W.partitionBy("directory").orderBy("page_index")
     placed = pages.withColumn("_b", F.floor((F.row_number().over(own) - 1) / size))
     first = placed.groupBy("directory", "_b").agg(F.min("page_index").alias("page_index"))
-    numbered = first.withColumn("batch_index", F.row_number().over(w) - 1).drop("page_index")
+    numbered = global_row_number(first, ["page_index"], "_n").select("directory", "_b", (F.col("_n") - 1).alias("batch_index"))
     return placed.join(numbered, ["directory", "_b"]).drop("_b")
 
 
