@@ -41,7 +41,39 @@ def scripted(answers: Iterable[str]) -> Callable[[], Client]:
     return make
 
 
-def run_stage(units: DataFrame, request: str, make_client: Callable[[], Client], validate: Callable[[object], object] = lambda x: x, attempts: int = 3, per_second: float | None = None) -> DataFrame:
+def with_feedback(request: str, answer: str | None, errors: list[str]) -> str:
+    """A request that shows the last answer and all errors so far; for ``again``."""
+    return json.dumps({"request": request, "answer": answer, "errors": errors}, ensure_ascii=False)
+
+
+def ask(client: Client, request: str, validate: Callable[[object], object], attempts: int, before: Callable[[], None] = lambda: None, again: Callable[[str, str | None, list[str]], str] | None = None) -> tuple[str | None, str | None, int]:
+    """Result as JSON text, error and attempts of one request; with ``again`` a further attempt is told the errors so far."""
+    errors: list[str] = []
+    answer = None
+    for n in range(1, attempts + 1):
+        before()
+        try:
+            answer = client(again(request, answer, errors) if again and errors else request)
+            return json.dumps(validate(parse_json(answer)), ensure_ascii=False, separators=(",", ":")), None, n
+        except StopIteration:
+            return None, "the script has no more answers", n
+        except Exception as e:  # a unit's failure is data; all are reported together
+            errors.append(f"{type(e).__name__}: {e}")
+    return None, errors[-1] if errors else None, attempts
+
+
+def paced(per_second: float | None) -> Callable[[], None]:
+    """Waits before each request so that a task sends no more than that."""
+    gap, last = (1 / per_second if per_second else 0.0), [0.0]
+
+    def wait() -> None:
+        time.sleep(max(0.0, last[0] + gap - time.monotonic()))
+        last[0] = time.monotonic()
+
+    return wait
+
+
+def run_stage(units: DataFrame, request: str, make_client: Callable[[], Client], validate: Callable[[object], object] = lambda x: x, attempts: int = 3, per_second: float | None = None, again: Callable[[str, str | None, list[str]], str] | None = None) -> DataFrame:
     """The units with ``result`` (JSON text, null if failed), ``error`` and ``attempts``.
 
     ``per_second`` limits the requests of each task; the number of partitions
@@ -49,29 +81,10 @@ def run_stage(units: DataFrame, request: str, make_client: Callable[[], Client],
     """
 
     def run(frames):
-        client = make_client()
-        gap, last = (1 / per_second if per_second else 0.0), 0.0
+        client, before = make_client(), paced(per_second)
         for frame in frames:
-            results, errors, tries = [], [], []
-            for text in frame[request]:
-                result = error = None
-                n = 0
-                while n < attempts and result is None:
-                    n += 1
-                    wait = last + gap - time.monotonic()
-                    if wait > 0:
-                        time.sleep(wait)
-                    last = time.monotonic()
-                    try:
-                        result = json.dumps(validate(parse_json(client(text))), ensure_ascii=False, separators=(",", ":"))
-                    except StopIteration:
-                        error = "the script has no more answers"
-                        break
-                    except Exception as e:  # a unit's failure is data; all are reported together
-                        error = f"{type(e).__name__}: {e}"
-                results.append(result)
-                errors.append(None if result is not None else error)
-                tries.append(n)
+            told = [ask(client, text, validate, attempts, before, again) for text in frame[request]]
+            results, errors, tries = ([t[i] for t in told] for i in range(3))
             yield frame.assign(result=pd.Series(results, dtype=object), error=pd.Series(errors, dtype=object), attempts=tries)
 
     schema = StructType([*units.schema.fields, StructField("result", StringType()), StructField("error", StringType()), StructField("attempts", IntegerType())])
