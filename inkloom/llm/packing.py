@@ -126,3 +126,13 @@ def p9_fill(spark, sf_dir: str) -> DataFrame:
     boxes = p9_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("tokens").alias("level"))
     least = F.ceil(F.sum("level") / F.lit(float(capacity)))
     return boxes.agg(F.count("*").alias("containers"), least.cast("bigint").alias("least_containers"), (F.sum("level") / (F.count("*") * F.lit(float(capacity)))).alias("fill_share"))
+
+
+def p9_placed(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, whole, fits``: of every document with tokens, whether its pieces are the fewest possible and add up to it, and whether its containers hold no more than they can."""
+    capacity = capacity_of(spark, sf_dir)
+    sized = cut(count_tokens(table(spark, sf_dir, "documents"), tokenizer_path=bpe.DEFAULT_TOKENIZER).filter("n_tokens > 0"), "sized")
+    placed = cut(pack(sized, capacity), "placed")
+    full = placed.groupBy("container_id").agg(F.sum("tokens").alias("level"))
+    each = placed.join(full, "container_id").groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"), F.max("level").alias("most"))
+    return each.join(sized.select("doc_id", "n_tokens"), "doc_id").select("doc_id", ((F.col("tokens") == F.col("n_tokens")) & (F.col("parts") == F.ceil(F.col("n_tokens") / F.lit(float(capacity))))).alias("whole"), (F.col("most") <= capacity).alias("fits"))

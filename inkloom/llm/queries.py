@@ -10,6 +10,7 @@ QUERIES = {
     "p2_found": splits.p2_found,
     "p2_splits": splits.p2_splits,
     "p2_balance": splits.p2_balance,
+    "p2_members": splits.p2_members,
     "p3_found": cutoff.p3_found,
     "p3_evidence": cutoff.p3_evidence,
     "p3_rates": cutoff.p3_rates,
@@ -22,9 +23,11 @@ QUERIES = {
     "p6_entities": names.p6_entities,
     "p7_found": splitting.p7_found,
     "p7_pieces": splitting.p7_pieces,
+    "p7_cover": splitting.p7_cover,
     "p8_ids": tokens.p8_ids,
     "p9_containers": packing.p9_containers,
     "p9_fill": packing.p9_fill,
+    "p9_placed": packing.p9_placed,
     "p10_found": spans.p10_found,
     "p10_shared": spans.p10_shared,
 }

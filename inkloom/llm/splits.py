@@ -186,3 +186,11 @@ def p2_balance(spark, sf_dir: str) -> DataFrame:
     splits = p2_splits(spark, sf_dir).groupBy("split_label").agg(F.count("*").alias("records"))
     total = splits.agg(F.sum("records").alias("total"))
     return splits.join(F.broadcast(total)).select("split_label", "records", (F.col("records") / F.col("total")).alias("record_share"))
+
+
+def p2_members(spark, sf_dir: str) -> DataFrame:
+    """Every candidate with its group, in how many splits it is, and in how many its group is."""
+    out = cut(p2_splits(spark, sf_dir), "members")
+    own = out.groupBy("candidate_id", "group_book_key", "group_plot_index").agg(F.count_distinct("split_label").alias("splits"))
+    whole = out.groupBy("group_book_key", "group_plot_index").agg(F.count_distinct("split_label").alias("splits_of_group"))
+    return own.join(whole, (own["group_book_key"].eqNullSafe(whole["group_book_key"])) & (own["group_plot_index"].eqNullSafe(whole["group_plot_index"]))).select("candidate_id", own["group_book_key"], own["group_plot_index"], "splits", "splits_of_group")

@@ -95,3 +95,15 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
 
 def p7_pieces(spark, sf_dir: str) -> DataFrame:
     return pieces(_items(spark, sf_dir), *_limits(spark, sf_dir))
+
+
+def p7_cover(spark, sf_dir: str) -> DataFrame:
+    """``item_kind, item_id, chars, text_md5, fits, overlaps``: each item put together from its pieces again, whether all are within the limit, and whether each begins with the end of the one before."""
+    limit, overlap = _limits(spark, sf_dir)
+    found = pieces(_items(spark, sf_dir), limit, overlap)
+    listed = F.array_sort(F.collect_list(F.struct("piece_index", "piece_start", "piece_end", "text")))
+    whole = found.groupBy("item_kind", "item_id").agg(listed.alias("p"), F.max(F.length("text")).alias("longest"))
+    later = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
+    body = F.concat(F.col("p")[0]["text"], F.array_join(F.transform(later, lambda x: F.substring(x["text"], F.lit(overlap + 1), F.length(x["text"]))), ""))
+    repeated = F.forall(F.zip_with(F.slice("p", 1, F.size("p") - 1), later, lambda a, b: (b["piece_start"] == a["piece_end"] - overlap) & F.endswith(a["text"], F.left(b["text"], F.lit(overlap)))), lambda x: x)
+    return whole.select("item_kind", "item_id", F.length(body).cast("bigint").alias("chars"), F.md5(body).alias("text_md5"), (F.col("longest") <= limit).alias("fits"), repeated.alias("overlaps"))
