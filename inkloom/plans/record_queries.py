@@ -212,14 +212,14 @@ def shared_speakers(spark, sf_dir):
 
 
 @query(r"""
-    WITH o AS (SELECT DISTINCT output_id, content FROM llm_outputs WHERE content LIKE '{%'),
+    WITH o AS (SELECT DISTINCT output_id, coalesce(nullif(regexp_extract(content, '(?s)```[a-zA-Z]*[ \t]*\n(.*?)\n?```', 1), ''), content) AS content FROM llm_outputs WHERE content IS NOT NULL),
     r AS (SELECT output_id, regexp_replace(regexp_extract(content, '(?s)[{\[].*[}\]]', 0), ',([ \t\r\n]*[}\]])', '\1', 'g') AS j FROM o)
-    SELECT output_id, list_aggregate(list_sort(json_keys(j)), 'string_agg', ',') AS keys, list_sort(json_keys(j)) = ['utterances'] AS exact FROM r WHERE json_valid(j)""")
+    SELECT output_id, list_aggregate(list_sort(json_keys(j)), 'string_agg', ',') AS keys, list_sort(json_keys(j)) = ['utterances'] AS exact FROM r WHERE json_valid(j) AND j LIKE '{%'""")
 def exact_fields(spark, sf_dir):
     """The fields of outputs that are JSON objects after repair, and whether they are just the wanted ones."""
-    o = table(spark, sf_dir, "llm_outputs").filter(F.col("content").startswith("{")).select("output_id", "content").distinct()
+    o = table(spark, sf_dir, "llm_outputs").filter(F.col("content").isNotNull()).select("output_id", "content").distinct()
     fixed = o.withColumn("j", T.repair_json(F.col("content")))
-    kept = fixed.filter(F.try_parse_json("j").isNotNull()).withColumn("k", F.array_sort(F.json_object_keys("j")))
+    kept = fixed.filter(F.col("j").startswith("{") & F.try_parse_json("j").isNotNull()).withColumn("k", F.array_sort(F.json_object_keys("j")))
     return kept.select("output_id", F.array_join("k", ",").alias("keys"), (F.col("k") == F.array(F.lit("utterances"))).alias("exact"))
 
 

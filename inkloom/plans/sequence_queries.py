@@ -240,26 +240,32 @@ def offset_sums(spark, sf_dir):
     WITH v AS (SELECT DISTINCT candidate_id, validations FROM candidates), e AS (SELECT candidate_id, unnest(range(len(validations))) AS pos, unnest(validations) AS v FROM v),
     a AS (SELECT candidate_id, v.name AS name, pos, v.value.canonical AS value FROM e),
     n AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, name ORDER BY pos) AS k FROM a),
-    r AS (SELECT candidate_id, name, pos, 'fixed-' || k AS value, k FROM n WHERE value IS NULL)
-    SELECT candidate_id, name, coalesce(r2.value, n.value) AS value, n.pos::INT AS pos, r2.value IS NOT NULL AS repaired, false AS appended
-    FROM n LEFT JOIN (SELECT candidate_id, name, value, row_number() OVER (PARTITION BY candidate_id, name ORDER BY pos) AS k FROM r) r2 USING (candidate_id, name, k)""")
+    r AS (SELECT candidate_id, name, pos, 'fixed-' || k AS value FROM n WHERE value IS NULL OR pos = 0 UNION ALL SELECT candidate_id, name, 1000 + pos, 'extra-' || k FROM n WHERE pos % 2 = 0 UNION ALL SELECT candidate_id, 'unseen', 2000, 'extra' FROM n WHERE pos = 1),
+    q AS (SELECT candidate_id, name, pos AS at, value AS fixed, row_number() OVER (PARTITION BY candidate_id, name ORDER BY pos) AS k FROM r)
+    SELECT candidate_id, name, coalesce(q.fixed, n.value) AS value, coalesce(n.pos, q.at)::INT AS pos, q.fixed IS NOT NULL AS repaired, n.pos IS NULL AS appended
+    FROM n FULL JOIN q USING (candidate_id, name, k)""")
 def repaired_nodes(spark, sf_dir):
-    """Checks without a value replaced by repairs, the k-th of a name by the k-th."""
+    """Checks replaced by repairs, the k-th of a name by the k-th; repairs beyond the checks are appended."""
     from pyspark.sql import Window as W
 
     nodes = table(spark, sf_dir, "candidates").select("candidate_id", "validations").distinct().select("candidate_id", F.posexplode("validations").alias("pos", "v")).select("candidate_id", "v.name", "pos", F.col("v.value.canonical").alias("value"))
     k = F.row_number().over(W.partitionBy("candidate_id", "name").orderBy("pos"))
-    repairs = nodes.withColumn("k", k).filter("value is null").select("candidate_id", "name", "pos", F.concat(F.lit("fixed-"), F.col("k").cast("string")).alias("value"))
+    counted = nodes.withColumn("k", k)
+    fixed = counted.filter("value is null or pos = 0").select("candidate_id", "name", "pos", F.concat(F.lit("fixed-"), F.col("k").cast("string")).alias("value"))
+    extra = counted.filter("pos % 2 = 0").select("candidate_id", "name", (F.col("pos") + 1000).alias("pos"), F.concat(F.lit("extra-"), F.col("k").cast("string")).alias("value"))
+    unseen = counted.filter("pos = 1").select("candidate_id", F.lit("unseen").alias("name"), F.lit(2000).alias("pos"), F.lit("extra").alias("value"))
+    repairs = fixed.unionByName(extra).unionByName(unseen)
     return S.repair_nodes(nodes, repairs, ["candidate_id"], "name", "pos", "value")
 
 
 @query("""
     WITH e AS (SELECT user_id, date_trunc('day', ts) AS day, string_agg(event_type, '>' ORDER BY ts, event_id) AS source FROM events GROUP BY ALL),
-    b AS (SELECT user_id, day, source FROM e UNION ALL SELECT user_id, day, right(source, 5) FROM e)
-    SELECT user_id, day, arg_max(source, (length(source), source)) AS "outer", count(*) AS n, true AS related FROM b GROUP BY ALL""")
+    b AS (SELECT user_id, day, source FROM e UNION ALL SELECT user_id, day, right(source, 5) FROM e UNION ALL SELECT user_id, day, left(source, 5) FROM e WHERE user_id % 2 = 0),
+    o AS (SELECT user_id, day, arg_max(source, (length(source), source)) AS "outer" FROM b GROUP BY ALL)
+    SELECT user_id, day, o."outer", count(*) AS n, bool_and(suffix(o."outer", b.source)) AS related FROM b JOIN o USING (user_id, day) GROUP BY ALL""")
 def transition_groups(spark, sf_dir):
-    """Changes of one day as one group under the longest source."""
+    """Changes of one day as one group under the longest source, and whether all others end it; some here do not."""
     events = table(spark, sf_dir, "events")
     daily = events.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(S.joined_in_order(["ts", "event_id"], F.col("event_type"), ">").alias("source"))
-    both = daily.unionByName(daily.withColumn("source", F.expr("right(source, 5)")))
+    both = daily.unionByName(daily.withColumn("source", F.expr("right(source, 5)"))).unionByName(daily.filter("user_id % 2 = 0").withColumn("source", F.expr("left(source, 5)")))
     return state.transition_groups(both, ["user_id"], "day", "source")

@@ -9,6 +9,7 @@ own; on a cluster the setting is required.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="inkloom-")
     context.setCheckpointDir(made)
