@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkloom.operators.components import components
+from inkloom.operators.ranking import global_row_number
 from inkloom.session import cut
 
 
@@ -18,12 +19,14 @@ def alias_groups(observations: DataFrame, scope: str, position: str, names: str)
     groups of their own.
     """
     rows = observations.select(scope, position, names).filter(F.col(position).isNotNull())
-    each = rows.select(scope, position, F.explode(F.array_distinct(names)).alias("name")).filter("name is not null")
-    first = each.groupBy(scope, "name").agg(F.min(position).alias("first"))
+    # Positions may occur in several scopes, so each place gets a number of its own, in order.
+    places = cut(global_row_number(rows.filter(F.col(scope).isNotNull()).select(scope, position).distinct(), [scope, position], "_id"), "places")
+    each = rows.join(places, [scope, position]).select(scope, "_id", F.explode(F.array_distinct(names)).alias("name")).filter("name is not null")
+    first = each.groupBy(scope, "name").agg(F.min("_id").alias("first"))
     # All observations of a name are linked to the name's first: as many links as names, never pairs.
-    links = each.join(first, [scope, "name"]).select(F.col("first").alias("a"), F.col(position).alias("b"))
-    found = components(links)
-    return rows.select(scope, position).join(found, rows[position] == found["node"], "left").select(scope, position, F.coalesce("component", position).alias("group")).distinct()
+    found = components(each.join(first, [scope, "name"]).select(F.col("first").alias("a"), F.col("_id").alias("b")))
+    grouped = found.join(places.select(scope, position, F.col("_id").alias("node")), "node").join(places.select(F.col("_id").alias("component"), F.col(position).alias("group")), "component").select(scope, position, "group")
+    return rows.select(scope, position).distinct().join(grouped, [scope, position], "left").select(scope, position, F.coalesce("group", position).alias("group"))
 
 
 def group_summaries(observations: DataFrame, groups: DataFrame, scope: str, position: str, names: str, description: str, budget: int) -> DataFrame:
@@ -33,18 +36,26 @@ def group_summaries(observations: DataFrame, groups: DataFrame, scope: str, posi
     longest description is the earliest of the longest.
     """
     rows = observations.join(groups, [scope, position])
-    ordered = F.array_sort(F.collect_list(F.struct(position, names, description)))
-    gathered = rows.groupBy(scope, "group").agg(ordered.alias("all"), F.count("*").alias("members"), F.max_by(description, F.struct(F.length(description), -F.col(position))).alias("longest"))
-    share = F.floor(F.lit(budget) / F.count("*").over(W.partitionBy(scope))).cast("int")
-    text = F.array_join(F.array_distinct(F.filter(F.transform("all", lambda x: x[description]), lambda d: d.isNotNull() & (d != ""))), "\n")
-    named = F.array_distinct(F.flatten(F.transform("all", lambda x: F.coalesce(x[names], F.array().cast("array<string>")))))
-    return gathered.withColumn("share", share).select(scope, "group", named.alias("names"), F.substring(text, F.lit(1), F.col("share")).alias("description"), "longest", "members")
+    own = [scope, "group"]
+    shares = groups.select(*own).distinct().groupBy(scope).agg(F.floor(F.lit(budget) / F.count("*")).cast("int").alias("share"))
+    facts = rows.groupBy(*own).agg(F.count("*").alias("members"), F.max_by(description, F.struct(F.length(description), -F.col(position))).alias("longest"))
+    # Of the texts only as many are gathered as the share has room for.
+    texts = rows.filter(F.col(description).isNotNull() & (F.col(description) != "")).groupBy(*own, F.col(description).alias("d")).agg(F.min(position).alias("at")).join(shares, scope)
+    order = W.partitionBy(*own).orderBy("at", "d")
+    fitting = texts.withColumn("before", F.coalesce(F.sum(F.length("d") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < F.col("share"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "\n")
+    told = fitting.groupBy(*own).agg(F.substring(text, F.lit(1), F.min("share")).alias("description"))
+    first = rows.select(*own, position, F.posexplode(names).alias("_i", "name")).filter("name is not null").groupBy(*own, "name").agg(F.min(F.struct(position, "_i")).alias("at"))
+    named = first.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))
+    out = facts.join(named, own, "left").join(told, own, "left")
+    return out.select(*own, F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("description", F.lit("")).alias("description"), "longest", "members")
 
 
 def conservative_groups(observations: DataFrame, scope: str, position: str, names: str) -> DataFrame:
     """``scope, position, group``: in order, an observation joins the one group it shares a name with; one that touches two is left out (null).
 
-    The outcome depends on the order, so a scope is one task's work.
+    The outcome depends on the order, but only among observations that share
+    names, so each component of ``alias_groups`` is one task's work.
     """
     kinds = {f.name: f.dataType.simpleString() for f in observations.schema.fields}
 
@@ -62,7 +73,8 @@ def conservative_groups(observations: DataFrame, scope: str, position: str, name
         frame.insert(0, scope, rows[scope].iloc[0])
         return frame
 
-    return observations.select(scope, position, names).groupBy(scope).applyInPandas(run, f"{scope} {kinds[scope]}, {position} bigint, group bigint")
+    tied = observations.select(scope, position, names).join(alias_groups(observations, scope, position, names).withColumnRenamed("group", "_component"), [scope, position])
+    return tied.groupBy(scope, "_component").applyInPandas(run, f"{scope} {kinds[scope]}, {position} bigint, group bigint")
 
 
 def name_frequencies(observations: DataFrame, scope: str, group: str, position: str, names: str) -> DataFrame:

@@ -181,6 +181,29 @@ def test_scenes():
         scenes.rebuild(chunks, [[("zz", None)], []])
 
 
+def test_positions_of_several_scopes_stay_apart(spark):
+    rows = [("f", 0, ["A"]), ("f", 1, ["B"]), ("g", 0, ["C"]), ("g", 1, ["C"]), ("g", 2, []), ("g", 3, None)]
+    df = spark.createDataFrame(rows, "file string, at bigint, names array<string>")
+    got = {(r["file"], r["at"]): r["group"] for r in N.alias_groups(df, "file", "at", "names").collect()}
+    assert got == {("f", 0): 0, ("f", 1): 1, ("g", 0): 0, ("g", 1): 0, ("g", 2): 2, ("g", 3): 3}
+
+
+def test_conservative_groups_against_one_fold(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [("b" if i % 3 else "c", i, sorted({f"n{rng.randint(0, 25)}" for _ in range(rng.randint(0, 3))})) for i in range(60)]
+    owners: dict = {}
+    want = {}
+    for scope, at, own in rows:
+        touched = {owners[scope, n] for n in own if (scope, n) in owners}
+        want[at] = None if len(touched) > 1 else next(iter(touched), at)
+        if want[at] is not None:
+            owners.update({(scope, n): want[at] for n in own})
+    df = spark.createDataFrame(rows, "book string, at bigint, names array<string>")
+    assert {r["at"]: r["group"] for r in N.conservative_groups(df, "book", "at", "names").collect()} == want
+
+
 def test_recovered_scenes():
     chunks = [(0, "ab cd", "s"), (1, "ef gh", "s"), (2, "ij kl", "t")]
     # A truncated chunk's end doesn't count; a finished chunk without one stays open; the next mark closes whatever its start.
