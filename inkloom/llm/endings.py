@@ -38,6 +38,8 @@ TRAILS = "—–―…‥"
 NEVER_LAST = "a an the and or but nor if than because although unless whose my your our their its every of into onto toward towards during between among el la los las un una unos unas de del al y o ni si pero porque aunque mi tu su sus mis tus con en por para que cuyo cuya desde hasta hacia und oder aber weil wenn dass ein des dem mein meinen meinem dein deinen deinem unser unseren von vom zum zur beim für ohne gegen".split()
 # Characters that stand before another word, in Chinese and Japanese.
 NEVER_LAST_WIDE = "的和与在把被对从到给向往又跟让叫将或则且若为のをがはにでへとや"
+#: Code points of an ending in which its last word is looked for; a longer one is no word of a list.
+LONGEST_WORD = 100
 _LETTERS = r"[a-zß-öø-ɏ]++(?:['’\-][a-zß-öø-ɏ]++)*+"
 _SENTENCE = re.compile(rf"[^{re.escape(STOPS + TRAILS)}\n]+[{re.escape(STOPS)}]")
 _BREAK = re.compile(rf"[{re.escape(STOPS + TRAILS)}\n*]")
@@ -164,12 +166,13 @@ def least_passages(passages: DataFrame, size: int = SAMPLE_TEXTS) -> list[str]:
 
 def last_word(text: Column) -> Column:
     """The word in Latin script that a text ends with, in lower case; empty if it ends otherwise."""
-    return F.regexp_extract(F.lower(text), f"({_LETTERS})\\s*\\z", 1)
+    end = F.right(F.rtrim(F.translate(text, "\n\r\t", "   ")), F.lit(LONGEST_WORD))
+    return F.regexp_extract(F.lower(end), f"({_LETTERS})\\s*\\z", 1)
 
 
 def stops_before(text: Column) -> Column:
     """Whether a text ends with a word that can't be the last of its sentence."""
-    return last_word(text).isin(NEVER_LAST) | text.rlike(f"[{NEVER_LAST_WIDE}]\\s*\\z")
+    return last_word(text).isin(NEVER_LAST) | F.right(F.rtrim(F.translate(text, "\n\r\t", "   ")), F.lit(1)).isin(list(NEVER_LAST_WIDE))
 
 
 def inner_words(df: DataFrame, text: str) -> DataFrame:

@@ -51,6 +51,7 @@ FUNCTION_WORDS = {
 }
 # What parts words.
 SEPARATORS = "\n\r\t\u00a0\u3000.,;:!?¿¡()[]{}<>/\\|*_\"“”„«»‹›…—–―-0123456789&%#@+=~^`$、。！？：；，（）「」『』【】《》"
+_WIDE = "[\u3041-\u9fff]"
 _NOISE = r"[\s\p{Cf}\p{Cc}\x{00a0}\x{3000}\x{2800}\x{3164}]"
 
 
@@ -83,8 +84,11 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def _refused(low: Column) -> Column:
-    """Whether lower-case text has a refusal in any language."""
-    return low.rlike("|".join(f"(?:{p})" for p in REFUSALS).replace("AI助手", "ai助手"))
+    """Whether lower-case text has a refusal in any language; patterns that hold Chinese or Japanese characters are tried where such occur."""
+    wide = [p.replace("AI助手", "ai助手") for p in REFUSALS if re.search(_WIDE, p)]
+    narrow = [p for p in REFUSALS if not re.search(_WIDE, p)]
+    any_of = lambda patterns: low.rlike("|".join(f"(?:{p})" for p in patterns))
+    return any_of(narrow) | F.when(low.rlike(_WIDE), any_of(wide)).otherwise(F.lit(False))
 
 
 def _copied(said: list[str], forms: list[str]) -> Column:
