@@ -222,3 +222,23 @@ def test_descriptions_are_read_to_their_end(spark):
 
 def test_no_observations(spark):
     assert link(spark.createDataFrame([], OBS)).collect() == []
+
+
+def test_no_table_that_grows_goes_to_the_driver(spark):
+    """Broadcasts hold one row per language, though the tables here are smaller than any threshold."""
+    import re
+
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty(30_000)
+        runs = store.executionsList()
+        return {runs.apply(i).executionId(): runs.apply(i) for i in range(runs.size())}
+
+    before = executions()
+    rows = [(i, f"s{i % 3}", [f"Edwin {sur}"], "Known for a scar; works as a translator.") for i, sur in enumerate(["Lamorfell", "Verorsk", "Lamorfel", "Lamorfell", "Torolsk", "Graoshold"])] + [(10, "s0", ["Edwin"], ""), (11, "s1", ["Edwin V."], None)]
+    assert link(spark.createDataFrame([(*r, "clash") for r in rows], OBS)).count() == len(rows)
+    plans = [run.physicalPlanDescription() for k, run in executions().items() if k not in before]
+    keys = [k for p in plans for k in re.findall(r"BroadcastHashJoin[^\n]*\nLeft keys \[\d+\]: \[([^\]]*)\]", p)]
+    assert len(plans) > 10 and keys and {re.sub(r"#\d+", "", k) for k in keys} == {"part, tongue"}
+    assert not any("BroadcastNestedLoopJoin" in p for p in plans)
